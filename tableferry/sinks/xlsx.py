@@ -1,0 +1,278 @@
+"""Excel output: a folder with one workbook per partition, or a single workbook.
+
+A Python data source, because Spark has no writer for the format.  Tasks write
+under a temporary folder; only files of successful tasks are moved into place.
+"""
+
+from __future__ import annotations
+
+import re
+import uuid
+import zipfile
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
+from xml.sax.saxutils import escape
+
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+
+from tableferry import fixed
+from tableferry.functions.casts import NESTED
+
+MAX_ROWS = 1_048_576
+MAX_COLUMNS = 16_384
+MAX_TEXT = 32_767
+FORMAT = "tableferry_xlsx"
+
+_NS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+_HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
+_TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+_BAD_XML = re.compile("[\x00-\x08\x0b\x0c\x0d\x0e-\x1f\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
+_EPOCH = datetime(1899, 12, 30, tzinfo=timezone.utc)
+
+
+def filesystem(path: str):
+    """File system and plain path for a URI, as seen from a Python task."""
+    if re.match(r"^file:/[^/]", path):
+        path = "file://" + path[5:]
+    if "://" not in path:
+        return pafs.LocalFileSystem(), path
+    return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+
+
+def _letters(index: int) -> str:
+    out, index = "", index + 1
+    while index:
+        index, rest = divmod(index - 1, 26)
+        out = chr(65 + rest) + out
+    return out
+
+
+def _text_cell(ref: str, value: str) -> str:
+    if len(value) > MAX_TEXT:
+        raise ValueError(f"cell {ref}: a workbook holds at most {MAX_TEXT} characters per cell")
+    safe = escape(_BAD_XML.sub(lambda m: f"_x{ord(m.group()):04X}_", value))
+    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{safe}</t></is></c>'
+
+
+def cell(ref: str, value) -> str:
+    """One cell as sheet XML; NULL has no cell."""
+    if value is None:
+        return ""
+    if isinstance(value, bool):
+        return f'<c r="{ref}" t="b"><v>{int(value)}</v></c>'
+    if isinstance(value, str):
+        return _text_cell(ref, value)
+    if isinstance(value, datetime):
+        moment = value if value.tzinfo else value.replace(tzinfo=timezone.utc)
+        serial = (moment - _EPOCH).total_seconds() / 86400
+        return f'<c r="{ref}" s="1"><v>{serial!r}</v></c>'
+    if isinstance(value, float):
+        if value != value or value in (float("inf"), float("-inf")):
+            return f'<c r="{ref}" t="e"><v>#NUM!</v></c>'
+        return f'<c r="{ref}"><v>{value!r}</v></c>'
+    return f'<c r="{ref}"><v>{value}</v></c>'
+
+
+class Workbook:
+    """Streams rows into one workbook file."""
+
+    def __init__(self, stream, sheet: str, names: list[str]):
+        self._zip = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
+        self._columns = [_letters(i) for i in range(len(names))]
+        for part, text in _parts(sheet).items():
+            self._zip.writestr(part, _HEAD + text)
+        self._sheet = self._zip.open("xl/worksheets/sheet1.xml", "w", force_zip64=True)
+        self._write(_HEAD + f'<worksheet xmlns="{_NS}"><sheetData>')
+        self.rows = 0
+        self.append([names])
+
+    def _write(self, text: str) -> None:
+        self._sheet.write(text.encode("utf-8"))
+
+    def append(self, rows) -> None:
+        out = []
+        for values in rows:
+            self.rows += 1
+            at = str(self.rows)
+            cells = "".join(cell(c + at, v) for c, v in zip(self._columns, values))
+            out.append(f'<row r="{at}">{cells}</row>')
+        self._write("".join(out))
+
+    def close(self) -> None:
+        self._write("</sheetData></worksheet>")
+        self._sheet.close()
+        self._zip.close()
+
+
+def _parts(sheet: str) -> dict[str, str]:
+    """The fixed parts of a workbook with one sheet; style 1 shows a date."""
+    name = escape(sheet, {'"': "&quot;"})
+    rel = f'<Relationships xmlns="{_PACKAGE}/relationships">'
+    return {
+        "[Content_Types].xml": (
+            f'<Types xmlns="{_PACKAGE}/content-types">'
+            '<Default Extension="rels" '
+            'ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+            '<Default Extension="xml" ContentType="application/xml"/>'
+            f'<Override PartName="/xl/workbook.xml" ContentType="{_TYPE}.sheet.main+xml"/>'
+            f'<Override PartName="/xl/styles.xml" ContentType="{_TYPE}.styles+xml"/>'
+            '<Override PartName="/xl/worksheets/sheet1.xml" '
+            f'ContentType="{_TYPE}.worksheet+xml"/></Types>'
+        ),
+        "_rels/.rels": (
+            f'{rel}<Relationship Id="rId1" Type="{_OFFICE}/officeDocument" '
+            'Target="xl/workbook.xml"/></Relationships>'
+        ),
+        "xl/workbook.xml": (
+            f'<workbook xmlns="{_NS}" xmlns:r="{_OFFICE}"><sheets>'
+            f'<sheet name="{name}" sheetId="1" r:id="rId1"/></sheets></workbook>'
+        ),
+        "xl/_rels/workbook.xml.rels": (
+            f'{rel}<Relationship Id="rId1" Type="{_OFFICE}/worksheet" '
+            'Target="worksheets/sheet1.xml"/>'
+            f'<Relationship Id="rId2" Type="{_OFFICE}/styles" Target="styles.xml"/>'
+            "</Relationships>"
+        ),
+        "xl/styles.xml": (
+            f'<styleSheet xmlns="{_NS}"><fonts count="1"><font/></fonts>'
+            '<fills count="1"><fill/></fills><borders count="1"><border/></borders>'
+            '<cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/>'
+            '<xf numFmtId="14" applyNumberFormat="1"/></cellXfs></styleSheet>'
+        ),
+    }
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[str] = field(default_factory=list)
+
+
+class XlsxWriter(DataSourceArrowWriter):
+    def __init__(self, names, path: str, sheet: str, overwrite: bool):
+        self.names, self.path, self.sheet, self.overwrite = names, path, sheet, overwrite
+        self.single = path.lower().endswith(".xlsx")
+        self.temporary = f"{path.rstrip('/')}{'.' if self.single else '/'}_temporary-{uuid.uuid4().hex}"
+
+    def write(self, iterator) -> Written:
+        from pyspark import TaskContext
+
+        fs, base = filesystem(self.temporary)
+        fs.create_dir(base, recursive=True)
+        task = f"{TaskContext.get().partitionId():05d}"
+        done, book, stream = Written(), None, None
+
+        def start():
+            name = f"part-{task}-{len(done.files):03d}-{uuid.uuid4().hex}.xlsx"
+            done.files.append(name)
+            out = fs.open_output_stream(f"{base}/{name}")
+            return Workbook(out, self.sheet, self.names), out
+
+        def finish():
+            if book is not None:
+                book.close()
+                stream.close()
+
+        for batch in iterator:
+            rows = list(zip(*[column.to_pylist() for column in batch.columns]))
+            while rows:
+                if book is None or book.rows >= MAX_ROWS:
+                    if book is not None and self.single:
+                        raise ValueError("more rows than one workbook holds; write to a folder")
+                    finish()
+                    book, stream = start()
+                room = MAX_ROWS - book.rows
+                book.append(rows[:room])
+                rows = rows[room:]
+        if book is None and task == "00000":
+            book, stream = start()
+        finish()
+        return done
+
+    def _clear(self, fs, base: str) -> None:
+        info = fs.get_file_info(base)
+        if info.type == pafs.FileType.File:
+            fs.delete_file(base)
+        elif info.type == pafs.FileType.Directory:
+            for old in fs.get_file_info(pafs.FileSelector(base)):
+                if old.type == pafs.FileType.File and old.base_name.endswith(".xlsx"):
+                    fs.delete_file(old.path)
+
+    def commit(self, messages) -> None:
+        fs, base = filesystem(self.path.rstrip("/"))
+        _, temporary = filesystem(self.temporary)
+        names = [n for m in messages if m is not None for n in m.files]
+        if self.single:
+            self._clear(fs, base)
+            fs.move(f"{temporary}/{names[0]}", base)
+        else:
+            if self.overwrite:
+                self._clear(fs, base)
+            for name in names:
+                fs.move(f"{temporary}/{name}", f"{base}/{name}")
+        fs.delete_dir(temporary)
+
+    def abort(self, messages) -> None:
+        fs, temporary = filesystem(self.temporary)
+        if fs.get_file_info(temporary).type == pafs.FileType.Directory:
+            fs.delete_dir(temporary)
+
+
+class XlsxSource(DataSource):
+    """Write-only data source; reading goes through ``sources.xlsx``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return FORMAT
+
+    def writer(self, schema: T.StructType, overwrite: bool) -> XlsxWriter:
+        if len(schema) > MAX_COLUMNS:
+            raise ValueError(f"a workbook holds at most {MAX_COLUMNS} columns")
+        names = self.options["names"]
+        return XlsxWriter(
+            names.split("\x00"), self.options["path"], self.options["sheet"], overwrite
+        )
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(XlsxSource)
+
+
+def _cells(df: DataFrame) -> DataFrame:
+    """Columns c0, c1, ... of types a cell can hold; the rest becomes text."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    out = []
+    for name, f in zip(names, df.schema.fields):
+        c, dt = F.col(name), f.dataType
+        if isinstance(dt, NESTED):
+            c = F.to_json(c)
+        elif isinstance(dt, (T.DateType, T.TimestampNTZType)):
+            c = c.cast("timestamp")
+        elif isinstance(dt, T.FloatType):
+            c = c.cast("string").cast("double")
+        elif isinstance(dt, T.BinaryType):
+            c = c.cast("string")
+        out.append(c.alias(name))
+    return df.toDF(*names).select(*out)
+
+
+def write_xlsx(df: DataFrame, path: str, sheet: str | None = None, mode: str = "overwrite") -> None:
+    """A workbook per partition in the folder ``path``; one workbook if it ends in ``.xlsx``.
+
+    A partition with more rows than a sheet holds rolls over to further workbooks.
+    A single workbook has at most that many rows, so its one task is bounded.
+    """
+    register(df.sparkSession)
+    path = path.replace("\\", "/")
+    rows = _cells(df)
+    if path.lower().endswith(".xlsx"):
+        rows = rows.repartition(1)
+    (
+        rows.write.format(FORMAT)
+        .mode(mode)
+        .options(path=path, sheet=sheet or fixed.DEFAULT_SHEET, names="\x00".join(df.columns))
+        .save()
+    )

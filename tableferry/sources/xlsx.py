@@ -1,0 +1,308 @@
+"""Excel workbooks as DataFrames.
+
+Spark lists and ships the workbook files (``binaryFile``); a task unpacks the
+sheets of its files one row at a time.  A workbook cannot be split, and the
+format ends at 1,048,576 rows, so one file is a bounded piece of work.
+"""
+
+from __future__ import annotations
+
+import io
+import posixpath
+import re
+import zipfile
+from collections.abc import Iterator
+from datetime import datetime
+from xml.etree import ElementTree
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from tableferry import fixed
+from tableferry.scratch import path_exists
+
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_EPOCH = datetime(1899, 12, 30)
+BATCH_ROWS = 5_000
+
+
+# --- one workbook ------------------------------------------------------------
+
+
+def number_text(value: float) -> str:
+    """A number as header or cell text: no trailing '.0'."""
+    if value == int(value) and abs(value) < 1e21:
+        return str(int(value))
+    return repr(value).replace("e-0", "e-").replace("e+0", "e+")
+
+
+def _text_of(element) -> str:
+    """Text of a shared or inline string, phonetic runs left out."""
+    parts = [t.text or "" for t in element.findall(f"{_MAIN}t")]
+    for run in element.findall(f"{_MAIN}r"):
+        parts += [t.text or "" for t in run.findall(f"{_MAIN}t")]
+    return _unescape("".join(parts))
+
+
+def _unescape(text: str) -> str:
+    if "_x" not in text:
+        return text
+    return re.sub(r"_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m.group(1), 16)), text)
+
+
+def _column_index(reference: str) -> int:
+    n = 0
+    for ch in reference:
+        if not ch.isalpha():
+            break
+        n = n * 26 + ord(ch.upper()) - 64
+    return n - 1
+
+
+def _shared_strings(book: zipfile.ZipFile) -> list[str]:
+    if "xl/sharedStrings.xml" not in book.namelist():
+        return []
+    out = []
+    with book.open("xl/sharedStrings.xml") as f:
+        for _, el in ElementTree.iterparse(f):
+            if el.tag == f"{_MAIN}si":
+                out.append(_text_of(el))
+                el.clear()
+    return out
+
+
+def _sheet_file(book: zipfile.ZipFile, sheet: str | None) -> str | None:
+    """Part name of the named sheet, or of the first one; None if it is not there."""
+    root = ElementTree.fromstring(book.read("xl/workbook.xml"))
+    sheets = root.findall(f"{_MAIN}sheets/{_MAIN}sheet")
+    found = next((s for s in sheets if not sheet or s.get("name") == sheet), None)
+    if found is None:
+        return None
+    rels = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
+    target = next(r.get("Target") for r in rels if r.get("Id") == found.get(f"{_REL}id"))
+    return target.lstrip("/") if target.startswith("/") else posixpath.join("xl", target)
+
+
+def _cell_value(cell, strings: list[str]):
+    """float, bool, str or None."""
+    kind = cell.get("t", "n")
+    if kind == "inlineStr":
+        inline = cell.find(f"{_MAIN}is")
+        return None if inline is None else _text_of(inline)
+    raw = cell.findtext(f"{_MAIN}v")
+    if raw is None or kind == "e":
+        return None
+    if kind == "s":
+        return strings[int(raw)]
+    if kind == "str":
+        return _unescape(raw)
+    if kind == "b":
+        return raw.strip() in ("1", "true")
+    if kind == "d":
+        moment = datetime.fromisoformat(raw.replace("Z", ""))
+        return (moment - _EPOCH).total_seconds() / 86400
+    return float(raw)
+
+
+def sheet_rows(content: bytes, sheet: str | None) -> Iterator[dict[int, object]]:
+    """Rows of a sheet as {column index: value}; rows without any value are left out."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        part = _sheet_file(book, sheet)
+        if part is None:
+            return
+        strings = _shared_strings(book)
+        with book.open(part) as f:
+            rows = None
+            for event, el in ElementTree.iterparse(f, ("start", "end")):
+                if event == "start":
+                    rows = el if el.tag == f"{_MAIN}sheetData" else rows
+                    continue
+                if el.tag != f"{_MAIN}row":
+                    continue
+                row, at = {}, 0
+                for cell in el.findall(f"{_MAIN}c"):
+                    ref = cell.get("r")
+                    at = _column_index(ref) if ref else at
+                    value = _cell_value(cell, strings)
+                    if value is not None:
+                        row[at] = value
+                    at += 1
+                rows.clear()
+                if row:
+                    yield row
+
+
+class Header:
+    """Column names by position: repeated names are numbered, blank ones get a stand-in."""
+
+    def __init__(self, first: dict[int, object]):
+        self.start, self.names, self._seen = min(first), [], {}
+        for i in range(self.start, max(first) + 1):
+            self._add(first.get(i))
+
+    def _add(self, value) -> None:
+        if value is None:
+            base = fixed.BLANK_HEADER
+        elif isinstance(value, bool):
+            base = str(value).upper()
+        else:
+            base = number_text(value) if isinstance(value, float) else value
+        n = self._seen.get(base, 0)
+        self._seen[base] = n + 1
+        self.names.append(base if n == 0 else f"{base}_{n}")
+
+    def name(self, position: int) -> str | None:
+        if position < self.start:
+            return None
+        while position >= self.start + len(self.names):
+            self._add(None)
+        return self.names[position - self.start]
+
+
+# --- on Spark ----------------------------------------------------------------
+
+_SHAPE = "path string, pos int, name string, numbers long, flags long, texts long, rows long"
+
+
+def _contents(batches) -> Iterator[tuple[str, bytes]]:
+    for batch in batches:
+        for path, content in zip(batch.column("path"), batch.column("content")):
+            yield path.as_py(), content.as_py()
+
+
+def _shape_task(sheet: str | None):
+    """Per workbook and column: name, position and how many values of which kind."""
+
+    def run(batches):
+        for path, content in _contents(batches):
+            header, kinds, rows = None, {}, 0
+            for row in sheet_rows(content, sheet):
+                if header is None:
+                    header = Header(row)
+                    continue
+                rows += 1
+                for at, value in row.items():
+                    k = kinds.setdefault(at, [0, 0, 0])
+                    k[1 if isinstance(value, bool) else 0 if isinstance(value, float) else 2] += 1
+            if header is None:
+                continue
+            for at in kinds:
+                header.name(at)
+            records = [
+                (path, i, name, *kinds.get(header.start + i, (0, 0, 0)), rows)
+                for i, name in enumerate(header.names)
+            ]
+            columns = list(zip(*records))
+            types = [pa.string(), pa.int32(), pa.string()] + [pa.int64()] * 4
+            names = ["path", "pos", "name", "numbers", "flags", "texts", "rows"]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)], names
+            )
+
+    return run
+
+
+def _as_type(value, kind: str):
+    if value is None or kind == "string" and isinstance(value, str):
+        return value
+    if kind == "double":
+        return value if isinstance(value, float) else None
+    if kind == "boolean":
+        return value if isinstance(value, bool) else None
+    return str(value).lower() if isinstance(value, bool) else number_text(value)
+
+
+_ARROW = {"double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+
+
+def _read_task(sheet: str | None, columns: list[tuple[str, str]]):
+    """Rows of the workbooks in the given columns, in batches."""
+    names = [f"c{i}" for i in range(len(columns))]
+    index = {name: i for i, (name, _) in enumerate(columns)}
+
+    def batch(values):
+        arrays = [pa.array(v, _ARROW[k]) for v, (_, k) in zip(values, columns)]
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+    def run(batches):
+        values, count = [[] for _ in columns], 0
+        for _, content in _contents(batches):
+            header = None
+            for row in sheet_rows(content, sheet):
+                if header is None:
+                    header = Header(row)
+                    continue
+                cells = [None] * len(columns)
+                for at, value in row.items():
+                    i = index.get(header.name(at))
+                    if i is not None:
+                        cells[i] = _as_type(value, columns[i][1])
+                for column, value in zip(values, cells):
+                    column.append(value)
+                count += 1
+                if count == BATCH_ROWS:
+                    yield batch(values)
+                    values, count = [[] for _ in columns], 0
+        if count:
+            yield batch(values)
+
+    return run
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    reader = spark.read.format("binaryFile")
+    if not path.lower().endswith(".xlsx"):
+        reader = reader.option("pathGlobFilter", "*.xlsx")
+    return reader.load(path).select("path", "content")
+
+
+def workbook_columns(spark: SparkSession, path: str, sheet: str | None = None) -> list[tuple]:
+    """(name, kind, rows) of every column, kind being double, boolean or string.
+
+    One pass over the workbooks.  A column is a number or a flag only if all its
+    values are; what comes back is one row per column name.
+    """
+    shape = _files(spark, path).mapInArrow(_shape_task(sheet), _SHAPE)
+    kind = (
+        F.when((F.sum("texts") > 0) | ((F.sum("numbers") > 0) & (F.sum("flags") > 0)), "string")
+        .when(F.sum("numbers") > 0, "double")
+        .when(F.sum("flags") > 0, "boolean")
+        .otherwise("string")
+    )
+    found = (
+        shape.groupBy("name")
+        .agg(
+            F.min(F.struct("path", "pos")).alias("at"), kind.alias("kind"), F.sum("rows").alias("n")
+        )
+        .orderBy("at", "name")
+    )
+    return [(r["name"], r["kind"], r["n"]) for r in found.collect()]
+
+
+def read_xlsx(
+    spark: SparkSession,
+    path: str,
+    sheet: str | None = None,
+    *,
+    schema: T.StructType | None = None,
+    missing_ok: bool = False,
+) -> DataFrame:
+    """A sheet of one workbook, or of all workbooks in a folder.
+
+    The first row names the columns; a missing cell is NULL; a date is its serial
+    number.  ``schema`` (string, double and boolean fields) spares the pass that
+    finds the column types.
+    """
+    path = path.replace("\\", "/")
+    if missing_ok and not path_exists(spark, path):
+        return spark.createDataFrame([], T.StructType([]))
+    if schema is not None:
+        columns = [(f.name, f.dataType.simpleString()) for f in schema.fields]
+    else:
+        columns = [(name, kind) for name, kind, _ in workbook_columns(spark, path, sheet)]
+    if not columns:
+        return spark.createDataFrame([], T.StructType([]))
+    task_schema = ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(columns))
+    rows = _files(spark, path).mapInArrow(_read_task(sheet, columns), task_schema)
+    return rows.toDF(*[name for name, _ in columns])
