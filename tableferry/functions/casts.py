@@ -46,15 +46,16 @@ def js_trim(c: Column) -> Column:
 # --- text ------------------------------------------------------------------
 
 
-def _shortest(v: Column) -> Column:
+def _shortest(v: Column, text: Column) -> Column:
     """Scientific text with the fewest digits that read back as ``v``.
 
-    Java prints some doubles beyond 2**53 with more digits than they need.
+    Java prints some doubles beyond 2**53 with more digits than they need, and
+    then always with 16 digits or more.
     """
     formats = [F.lit(f"%.{p}e") for p in (14, 15)]
     fit = [F.printf(f, v).try_cast("double") == v for f in formats]
     best = F.when(fit[0], formats[0]).when(fit[1], formats[1]).otherwise("%.16e")
-    return F.printf(best, v)
+    return F.when(F.length(text) < 19, text).otherwise(F.printf(best, v))
 
 
 def _plain(text: Column, scale: int) -> Column:
@@ -75,8 +76,9 @@ def _double_text(v: Column) -> Column:
     return (
         F.when((size < 9007199254740992.0) & (v == F.floor(v)), v.cast("bigint").cast("string"))
         .when(~text.contains("E"), text)
-        .when((size >= 1e21) | (size < 1e-6), _scientific(_shortest(v), size))
-        .when(size >= 9007199254740992.0, _plain(_shortest(v), 15))
+        .when(size < 1e-6, _scientific(text, size))
+        .when(size >= 1e21, _scientific(_shortest(v, text), size))
+        .when(size >= 9007199254740992.0, _plain(_shortest(v, text), 15))
         .when(size < 1, _plain(text, 30))
         .otherwise(_plain(text, 15))
     )
@@ -123,34 +125,33 @@ def js_text(c: Column, dt: T.DataType) -> Column:
 # --- numbers ---------------------------------------------------------------
 
 
-def _radix_number(digits: Column, radix: int, bits: int) -> Column:
-    """Unsigned digits of a power-of-two radix, rounded once to a double.
+def _radix_number(s: Column) -> Column:
+    """``0b`` and ``0o`` digits, rounded once to a double.
 
     The leading 60 bits go through ``conv``; whatever follows only matters for
     rounding, so it is folded into the lowest bit and the rest is a power of two.
     """
-    head_len = 60 // bits
-    sig = F.ltrim(digits, F.lit("0"))
-    n = F.length(sig)
-    head = F.conv(F.substring(sig, 1, head_len), radix, 10).try_cast("bigint")
-    rest = F.rtrim(F.substring(sig, F.lit(head_len + 1), n), F.lit("0"))
-    sticky = F.when(F.length(rest) > 0, head.bitwiseOR(F.lit(1).cast("bigint"))).otherwise(head)
-    scaled = sticky.cast("double") * F.pow(F.lit(2.0), F.lit(bits) * (n - head_len))
-    return (
-        F.when(n == 0, F.lit(0.0)).when(n <= head_len, head.cast("double")).otherwise(scaled)
+    digits = F.regexp_replace(s, "^0[bBoO]0*", "")
+    binary = F.lower(F.substring(s, 2, 1)) == "b"
+    radix, bits, room = (F.when(binary, x).otherwise(y) for x, y in ((2, 8), (1, 3), (60, 20)))
+    head = F.call_function("conv", F.substring(digits, F.lit(1), room), radix, F.lit(10))
+    rest = F.rtrim(F.substring(digits, room + 1, F.length(digits)), F.lit("0"))
+    odd = F.when(F.length(rest) > 0, 1).otherwise(0).cast("bigint")
+    scale = F.pow(F.lit(2.0), bits * F.greatest(F.length(digits) - room, F.lit(0)))
+    return F.when(F.length(digits) == 0, 0.0).otherwise(
+        head.cast("bigint").bitwiseOR(odd).cast("double") * scale
     )
 
 
 def _number_from_text(c: Column, blank_as_null: bool) -> Column:
     s = js_trim(c)
-    tail = F.substring(s, F.lit(3), F.length(s))
     blank = F.lit(None).cast("double") if blank_as_null else F.lit(0.0)
     return (
-        F.when(F.length(s) == 0, blank)
-        .when(s.rlike(fixed.JS_DECIMAL), s.try_cast("double"))
-        .when(s.rlike(r"^0[xX][0-9a-fA-F]+$"), _radix_number(tail, 16, 4))
-        .when(s.rlike(r"^0[bB][01]+$"), _radix_number(tail, 2, 1))
-        .when(s.rlike(r"^0[oO][0-7]+$"), _radix_number(tail, 8, 3))
+        F.when(s.rlike(fixed.JS_DECIMAL), s.try_cast("double"))
+        .when(s == "", blank)
+        # Java reads hexadecimal doubles, which end in a binary exponent
+        .when(s.rlike("^0[xX][0-9a-fA-F]+$"), F.concat(s, F.lit("p0")).try_cast("double"))
+        .when(s.rlike("^0([bB][01]+|[oO][0-7]+)$"), _radix_number(s))
     )
 
 
@@ -243,19 +244,37 @@ def lenient_kind(tag: str) -> str:
     return next((kind for part, kind in fixed.LENIENT_FRAGMENTS if part in name), "text")
 
 
+def _leading_int_of_double(v: Column) -> Column:
+    """The integer at the start of a double's text, which may be ``1e+21`` or ``5e-7``."""
+    size, bigint = F.abs(v), "bigint"
+    first_digit = F.regexp_extract(_shortest(v, v.cast("string")), r"^-?\d", 0)
+    return (
+        F.when(size == 0, F.lit(0).cast(bigint))
+        .when((size >= 1e-6) & (size < 1e21), F.when(size < 2.0**63, v).cast(bigint))
+        .when(size < float("inf"), first_digit.try_cast(bigint))
+    )
+
+
 def _leading_int(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, INTEGRAL):
         return c.cast("bigint")
-    if isinstance(dt, TEMPORAL + (T.BooleanType,)):
+    if isinstance(dt, T.DecimalType):
+        return c.try_cast("bigint")
+    if isinstance(dt, FLOATING):
+        return _leading_int_of_double(c.cast("double"))
+    if not is_string(dt):
         return F.lit(None).cast("bigint")
-    s = js_trim(js_text(c, dt))
+    s = js_trim(c)
     sign = F.when(s.startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
     hexa = F.ltrim(F.regexp_extract(s, r"^[+-]?0[xX]([0-9a-fA-F]+)", 1), F.lit("0"))
     from_hex = F.when(F.length(hexa) == 0, F.lit(0).cast("bigint")).when(
         F.length(hexa) <= 15, sign * F.conv(hexa, 16, 10).try_cast("bigint")
     )
-    plain = F.regexp_extract(s, r"^[+-]?[0-9]+", 0).try_cast("bigint")
-    return F.when(s.rlike(r"^[+-]?0[xX][0-9a-fA-F]"), from_hex).otherwise(plain)
+    plain = F.regexp_extract(s, r"^[+-]?[0-9]+", 0)
+    return (
+        F.when(s.rlike(r"^[+-]?0[xX][0-9a-fA-F]"), from_hex)
+        .when(F.length(plain) > 0, plain.try_cast("bigint"))
+    )
 
 
 def cast_lenient(c: Column, dt: T.DataType, tag: str | None) -> Column:

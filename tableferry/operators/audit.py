@@ -26,13 +26,19 @@ def export_specs(specs: DataFrame, spec_id: str, masked: bool = True) -> DataFra
     return body.select(F.col("id").alias(spec_id), F.to_json(spec).alias("spec"))
 
 
-def _fields_of(db_type: Column, table: dict[str, tuple[str, ...]]) -> Column:
-    """The field list of an endpoint type, as an array literal; NULL if unknown."""
-    empty = F.array().cast("array<string>")
-    out = None
-    for name, fields in table.items():
-        value = F.array(*map(F.lit, fields)) if fields else empty
-        out = F.when(db_type == name, value) if out is None else out.when(db_type == name, value)
+ISSUE = "struct<label:string,issue:string,severity:string>"
+_DANGLING = "(missing)"
+
+
+def _fields_of(db_type: Column) -> Column:
+    """The fields of an endpoint type as array literals of (name, has default)."""
+    out = F
+    for name, fields in fixed.ENDPOINT_FIELDS.items():
+        optional = fixed.OPTIONAL_FIELDS[name]
+        cells = [
+            F.struct(F.lit(f).alias("name"), F.lit(f in optional).alias("optional")) for f in fields
+        ]
+        out = out.when(db_type == name, F.array(*cells))
     return out
 
 
@@ -40,101 +46,98 @@ def _issue(label: Column, issue: Column, severity: Column) -> Column:
     return F.struct(label.alias("label"), issue.alias("issue"), severity.alias("severity"))
 
 
-def _node_issues() -> Column:
+def _own_issues(n: Column) -> Column:
     """Issues a node shows by itself, as an array of structs."""
-    n = F.col("n")
     label, db_type = F.coalesce(n["label"], F.lit("")), F.coalesce(n["dbType"], F.lit(""))
-    fields = _fields_of(db_type, fixed.ENDPOINT_FIELDS)
-    optional = _fields_of(db_type, fixed.OPTIONAL_FIELDS)
+    fields = _fields_of(db_type)
     before, after = fixed.ISSUE_EMPTY_FIELD.split("{}")
-    no_type = F.array(
-        _issue(
-            F.concat(label, F.lit(" ("), F.coalesce(n["kind"], F.lit("")), F.lit(")")),
-            F.lit(fixed.ISSUE_NO_TYPE),
-            F.lit(ERROR),
-        )
+    kind = F.coalesce(n["kind"], F.lit(""))
+    no_type = _issue(
+        F.concat(label, F.lit(" ("), kind, F.lit(")")), F.lit(fixed.ISSUE_NO_TYPE), F.lit(ERROR)
     )
-    unknown = F.array(
-        _issue(
-            label,
-            F.concat(F.lit(fixed.UNSUPPORTED_TYPE.format("")), db_type),
-            F.lit(ERROR),
-        )
+    unknown = _issue(
+        label, F.concat(F.lit(fixed.UNSUPPORTED_TYPE.format("")), db_type), F.lit(ERROR)
     )
     empty_fields = F.transform(
-        F.filter(fields, lambda f: F.coalesce(n["config"][f], F.lit("")) == ""),
+        F.filter(fields, lambda f: F.coalesce(n["config"][f["name"]], F.lit("")) == ""),
         lambda f: _issue(
             label,
-            F.concat(F.lit(before), f, F.lit(after)),
-            F.when(F.array_contains(optional, f), WARNING).otherwise(ERROR),
+            F.concat(F.lit(before), f["name"], F.lit(after)),
+            F.when(f["optional"], WARNING).otherwise(ERROR),
         ),
     )
-    return F.when(db_type == "", no_type).when(fields.isNull(), unknown).otherwise(empty_fields)
+    known = db_type.isin(*fixed.ENDPOINT_FIELDS)
+    return (
+        F.when(db_type == "", F.array(no_type)).when(~known, F.array(unknown)).otherwise(empty_fields)
+    )
+
+
+def _ids(nodes: Column, wanted) -> Column:
+    return F.transform(F.filter(nodes, wanted), lambda n: n["id"])
 
 
 def audit_specs(specs: DataFrame, spec_id: str, spec: str = "spec") -> DataFrame:
     """One row per issue: (id, node_id, label, issue, severity, message).
 
     Every listed field counts; an empty field that has a default is a warning.
-    Edges are reduced to one row per node they touch before any join, so a node
-    with very many edges is one row by then.
+    A spec is one row, so its edges are checked against its nodes by set
+    operations inside the row: one pass over the table, and no shuffle.
     """
     parsed = specs.select(F.col(spec_id).alias("sid"), _parsed(specs, spec).alias("s")).select(
-        "sid", F.col("s.nodes").alias("nodes"), F.col("s.edges").alias("edges")
+        "sid",
+        F.coalesce("s.nodes", F.array().cast(f"array<{NODE}>")).alias("nodes"),
+        F.col("s.nodes").isNull().alias("unreadable"),
+        F.array_distinct(F.coalesce("s.edges.from", F.array().cast("array<string>"))).alias("froms"),
+        F.array_distinct(F.coalesce("s.edges.to", F.array().cast("array<string>"))).alias("tos"),
     )
-    nodes = parsed.select(
-        "sid", F.col("nodes").isNull().alias("unreadable"), F.explode_outer("nodes").alias("n")
-    ).select(
+    nodes = F.col("nodes")
+    ends_only = _ids(nodes, lambda n: n["kind"] == "destination")
+    not_start = _ids(nodes, lambda n: ~n["kind"].eqNullSafe(F.lit("source")))
+    not_end = _ids(nodes, lambda n: ~n["kind"].eqNullSafe(F.lit("destination")))
+    nothing = F.lit(None).cast("string")
+    stand_in = [nothing.alias("label"), nothing.alias("dbType")]
+    stand_in.append(F.lit(None).cast("map<string,string>").alias("config"))
+
+    def missing(node_id: Column) -> Column:
+        return F.struct(node_id.alias("id"), F.lit(_DANGLING).alias("kind"), *stand_in)
+
+    dangling = F.array_except(F.array_union("froms", "tos"), F.col("nodes.id"))
+    # the set operations come before the explosion: once per spec, not once per node
+    checked = parsed.select(
         "sid",
         "unreadable",
-        F.col("n.id").alias("node_id"),
-        F.coalesce("n.label", F.lit("")).alias("label"),
-        F.col("n.kind").alias("kind"),
-        F.when(F.col("n").isNotNull(), _node_issues()).alias("own"),
+        F.array_except(ends_only, F.col("tos")).alias("orphans"),
+        F.array_intersect(F.col("froms"), not_start).alias("bad_starts"),
+        F.array_intersect(F.col("tos"), not_end).alias("bad_ends"),
+        F.concat(nodes, F.transform(dangling, missing)).alias("nodes"),
     )
-    ends = (
-        parsed.select("sid", F.explode("edges").alias("e"))
-        .select(
-            "sid",
-            F.inline(
-                F.array(
-                    F.struct(F.col("e.from").alias("node_id"), F.lit(True).alias("leaves")),
-                    F.struct(F.col("e.to").alias("node_id"), F.lit(False).alias("leaves")),
-                )
-            ),
-        )
-        .groupBy("sid", "node_id")
-        .agg(F.bool_or("leaves").alias("leaves"), F.bool_or(~F.col("leaves")).alias("enters"))
+    flat = checked.select(
+        "sid", "unreadable", "orphans", "bad_starts", "bad_ends", F.explode_outer("nodes").alias("n")
     )
-    enters = F.coalesce("enters", F.lit(False))
-    leaves = F.coalesce("leaves", F.lit(False))
-    is_node = F.col("own").isNotNull()
+    n = F.col("n")
+    label = F.coalesce(n["label"], n["id"], F.lit(""))
 
-    def when(cond, issue):
-        return F.when(cond, _issue(F.col("label"), F.lit(issue), F.lit(ERROR)))
+    def when(cond: Column, issue: str) -> Column:
+        return F.when(cond, _issue(label, F.lit(issue), F.lit(ERROR)))
 
+    is_end, present = n["kind"] == "destination", n.isNotNull() & ~n["kind"].eqNullSafe(F.lit(_DANGLING))
     wiring = F.array_compact(
         F.array(
             when(F.col("unreadable"), "spec cannot be read"),
-            when((F.col("kind") == "destination") & ~enters, fixed.ISSUE_NO_INBOUND),
-            when(is_node & ~F.col("kind").eqNullSafe("source") & leaves, "edge starts here, not at a source"),
-            when(is_node & ~F.col("kind").eqNullSafe("destination") & enters, "edge ends here, not at a destination"),
+            when(n["kind"] == _DANGLING, "edge touches a node that is not there"),
+            when(is_end & F.array_contains("orphans", n["id"]), fixed.ISSUE_NO_INBOUND),
+            when(
+                present & F.array_contains("bad_starts", n["id"]),
+                "edge starts here, not at a source",
+            ),
+            when(
+                present & F.array_contains("bad_ends", n["id"]),
+                "edge ends here, not at a destination",
+            ),
         )
     )
-    by_node = nodes.join(ends, ["sid", "node_id"], "left").select(
-        "sid",
-        "node_id",
-        F.inline(F.concat(F.coalesce("own", F.array().cast(_ISSUES)), wiring)),
-    )
-    known = nodes.select("sid", "node_id").where("node_id is not null").distinct()
-    dangling = ends.join(known, ["sid", "node_id"], "left_anti").select(
-        "sid",
-        "node_id",
-        F.coalesce("node_id", F.lit("")).alias("label"),
-        F.lit("edge touches a node that is not there").alias("issue"),
-        F.lit(ERROR).alias("severity"),
-    )
-    return by_node.unionByName(dangling).select(
+    own = F.when(present, _own_issues(n)).otherwise(F.array().cast(f"array<{ISSUE}>"))
+    return flat.select("sid", n["id"].alias("node_id"), F.inline(F.concat(own, wiring))).select(
         F.col("sid").alias(spec_id),
         "node_id",
         "label",
@@ -144,9 +147,6 @@ def audit_specs(specs: DataFrame, spec_id: str, spec: str = "spec") -> DataFrame
     )
 
 
-_ISSUES = "array<struct<label:string,issue:string,severity:string>>"
-
-
 def _parsed(specs: DataFrame, spec: str) -> Column:
     field = next(f for f in specs.schema.fields if f.name == spec)
     if is_string(field.dataType):

@@ -20,6 +20,7 @@ from tableferry.plans.migrate import discover, migrate
 from tableferry.plans.runs import run_events, run_history, run_summaries
 from tableferry.plans.workflow import run_workflow
 from tableferry.scratch import scratch_path
+from tableferry.session import prepare
 from tableferry.sinks import write_endpoint
 from tableferry.sinks.csv import write_csv
 from tableferry.sinks.xlsx import write_xlsx
@@ -39,7 +40,7 @@ def query(sql: str | None):
     def register(fn):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            prepare(spark)
             return fn(spark, sf_dir)
 
         QUERIES[fn.__name__] = run

@@ -1,0 +1,19 @@
+"""Session settings the library relies on; all can be changed while a session runs."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+SETTINGS = {
+    # text without a zone is read as UTC, and instants are printed in UTC
+    "spark.sql.session.timeZone": "UTC",
+    # Java does not compile methods beyond 8000 bytes: a wide mapping is faster
+    # when Spark splits its code than when it is one large method
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def prepare(spark: SparkSession) -> None:
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)

@@ -7,6 +7,7 @@ under a temporary folder; only files of successful tasks are moved into place.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 import zipfile
 from dataclasses import dataclass, field
@@ -14,6 +15,7 @@ from datetime import datetime, timezone
 from xml.sax.saxutils import escape
 
 from pyarrow import fs as pafs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -33,6 +35,9 @@ _TYPE = "application/vnd.openxmlformats-officedocument.spreadsheetml"
 _BAD_XML = re.compile("[\x00-\x08\x0b\x0c\x0d\x0e-\x1f\ufffe\uffff]|_(?=x[0-9A-Fa-f]{4}_)")
 _EPOCH = datetime(1899, 12, 30, tzinfo=timezone.utc)
 
+# tasks get this package's code with them; executors need not have it installed
+cloudpickle.register_pickle_by_value(sys.modules["tableferry"])
+
 
 def filesystem(path: str):
     """File system and plain path for a URI, as seen from a Python task."""

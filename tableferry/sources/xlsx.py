@@ -10,12 +10,15 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import sys
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tableferry import fixed
@@ -23,9 +26,13 @@ from tableferry.scratch import path_exists
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_C, _V, _T, _ROW, _RPH = (f"{_MAIN[1:]}{name}" for name in ("c", "v", "t", "row", "rPh"))
 _EPOCH = datetime(1899, 12, 30)
 BATCH_ROWS = 5_000
 
+# tasks get this package's code with them; executors need not have it installed
+cloudpickle.register_pickle_by_value(sys.modules["tableferry"])
+
 
 # --- one workbook ------------------------------------------------------------
 
@@ -51,12 +58,10 @@ def _unescape(text: str) -> str:
     return re.sub(r"_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m.group(1), 16)), text)
 
 
-def _column_index(reference: str) -> int:
+def _column_index(letters: str) -> int:
     n = 0
-    for ch in reference:
-        if not ch.isalpha():
-            break
-        n = n * 26 + ord(ch.upper()) - 64
+    for ch in letters:
+        n = n * 26 + ord(ch) - 64
     return n - 1
 
 
@@ -84,18 +89,13 @@ def _sheet_file(book: zipfile.ZipFile, sheet: str | None) -> str | None:
     return target.lstrip("/") if target.startswith("/") else posixpath.join("xl", target)
 
 
-def _cell_value(cell, strings: list[str]):
+def _cell_value(kind: str, raw: str | None, strings: list[str]):
     """float, bool, str or None."""
-    kind = cell.get("t", "n")
-    if kind == "inlineStr":
-        inline = cell.find(f"{_MAIN}is")
-        return None if inline is None else _text_of(inline)
-    raw = cell.findtext(f"{_MAIN}v")
     if raw is None or kind == "e":
         return None
     if kind == "s":
         return strings[int(raw)]
-    if kind == "str":
+    if kind in ("inlineStr", "str"):
         return _unescape(raw)
     if kind == "b":
         return raw.strip() in ("1", "true")
@@ -105,32 +105,71 @@ def _cell_value(cell, strings: list[str]):
     return float(raw)
 
 
+class _SheetHandler:
+    """Collects the rows of a sheet from parser events as {column index: value}."""
+
+    def __init__(self, strings: list[str]):
+        self.rows: list[dict[int, object]] = []
+        self._strings = strings
+        self._at, self._kind, self._text, self._open, self._phonetic = -1, "n", None, False, False
+        self._row: dict[int, object] = {}
+        self._columns: dict[str, int] = {}
+
+    def _column(self, letters: str) -> int:
+        if letters not in self._columns:
+            self._columns[letters] = _column_index(letters)
+        return self._columns[letters]
+
+    def start(self, tag: str, attrs: dict) -> None:
+        if tag == _C:
+            ref = attrs.get("r")
+            self._at = self._column(ref.rstrip("0123456789")) if ref else self._at + 1
+            self._kind, self._text = attrs.get("t", "n"), None
+        elif tag == _V or tag == _T:
+            self._open = not self._phonetic
+            if self._open and self._text is None:
+                self._text = ""
+        elif tag == _ROW:
+            self._row, self._at = {}, -1
+        elif tag == _RPH:
+            self._phonetic = True
+
+    def data(self, text: str) -> None:
+        if self._open:
+            self._text += text
+
+    def end(self, tag: str) -> None:
+        if tag == _V or tag == _T:
+            self._open = False
+        elif tag == _C:
+            value = _cell_value(self._kind, self._text, self._strings)
+            if value is not None:
+                self._row[self._at] = value
+        elif tag == _ROW:
+            if self._row:
+                self.rows.append(self._row)
+        elif tag == _RPH:
+            self._phonetic = False
+
+
 def sheet_rows(content: bytes, sheet: str | None) -> Iterator[dict[int, object]]:
-    """Rows of a sheet as {column index: value}; rows without any value are left out."""
+    """Rows of a sheet, a chunk of XML at a time; rows without any value are left out."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         part = _sheet_file(book, sheet)
         if part is None:
             return
-        strings = _shared_strings(book)
+        handler = _SheetHandler(_shared_strings(book))
+        parser = expat.ParserCreate(namespace_separator="}")
+        parser.buffer_text = True
+        parser.StartElementHandler = handler.start
+        parser.EndElementHandler = handler.end
+        parser.CharacterDataHandler = handler.data
         with book.open(part) as f:
-            rows = None
-            for event, el in ElementTree.iterparse(f, ("start", "end")):
-                if event == "start":
-                    rows = el if el.tag == f"{_MAIN}sheetData" else rows
-                    continue
-                if el.tag != f"{_MAIN}row":
-                    continue
-                row, at = {}, 0
-                for cell in el.findall(f"{_MAIN}c"):
-                    ref = cell.get("r")
-                    at = _column_index(ref) if ref else at
-                    value = _cell_value(cell, strings)
-                    if value is not None:
-                        row[at] = value
-                    at += 1
-                rows.clear()
-                if row:
-                    yield row
+            while chunk := f.read(1 << 18):
+                parser.Parse(chunk)
+                rows, handler.rows = handler.rows, []
+                yield from rows
+        parser.Parse(b"", True)
 
 
 class Header:
