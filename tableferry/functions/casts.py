@@ -27,6 +27,8 @@ _ISO = (
     r"(Z|[+-]\d{2}:?\d{2})?)?)?)?$"
 )
 
+_ISO_MINUTES = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})?$"
+
 # Other date spellings read by DATE: pattern that guards, format that parses.
 DATE_FORMATS = (
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
@@ -58,6 +60,33 @@ def _shortest(v: Column, text: Column) -> Column:
     return F.when(F.length(text) < 19, text).otherwise(F.printf(best, v))
 
 
+def _integer_text(v: Column) -> Column:
+    """Whole doubles from 2**53 up to 9.2e18: the fewest leading digits, then zeros.
+
+    The exact integer is rounded to 15, 16 and 17 digits, ties to even, until the
+    result is the same double.
+    """
+    n = F.abs(v).cast("bigint")
+
+    def rounded(unit: Column) -> Column:
+        shifted = n + F.floor(unit / 2).cast("bigint")
+        up = shifted - shifted % unit
+        return F.when((shifted % unit == 0) & (up % (unit * 2) == unit), up - unit).otherwise(up)
+
+    def unit(digits: int) -> Column:
+        powers = [10 ** max(size - digits, 0) for size in (16, 17, 18, 19)]
+        limits = (10**16, 10**17, 10**18)
+        out = F
+        for limit, power in zip(limits, powers):
+            out = out.when(n < limit, F.lit(power).cast("bigint"))
+        return out.otherwise(F.lit(powers[3]).cast("bigint"))
+
+    shorter = [rounded(unit(d)) for d in (15, 16)]
+    fits = [c.cast("double") == F.abs(v) for c in shorter]
+    best = F.when(fits[0], shorter[0]).when(fits[1], shorter[1]).otherwise(rounded(unit(17)))
+    return F.when(v < 0, -best).otherwise(best).cast("string")
+
+
 def _plain(text: Column, scale: int) -> Column:
     """Scientific text written out in full, without zeros at the end."""
     full = text.try_cast(T.DecimalType(38, scale)).cast("string")
@@ -78,7 +107,8 @@ def _double_text(v: Column) -> Column:
         .when(~text.contains("E"), text)
         .when(size < 1e-6, _scientific(text, size))
         .when(size >= 1e21, _scientific(_shortest(v, text), size))
-        .when(size >= 9007199254740992.0, _plain(_shortest(v, text), 15))
+        .when(size >= 9.2e18, _plain(_shortest(v, text), 15))
+        .when(size >= 9007199254740992.0, _integer_text(v))
         .when(size < 1, _plain(text, 30))
         .otherwise(_plain(text, 15))
     )
@@ -208,7 +238,9 @@ def _date(c: Column, dt: T.DataType, formats=DATE_FORMATS) -> Column:
         return F.when(ok, F.timestamp_millis(F.when(ok, n).cast("bigint")))
     if is_string(dt):
         s = js_trim(c)
-        out = F.when(s.rlike(_ISO), s.try_cast("timestamp"))
+        full = F.regexp_replace(s, _ISO_MINUTES, "$1:00$2")  # Spark wants the seconds
+        out = F.when(s.rlike(_ISO_MINUTES), full.try_cast("timestamp"))
+        out = out.when(s.rlike(_ISO), s.try_cast("timestamp"))
         for guard, fmt in formats:
             out = out.when(s.rlike(guard), F.try_to_timestamp(s, F.lit(fmt)))
         return out

@@ -39,3 +39,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jpath, fs = hadoop_path(spark, path)
     found = fs.globStatus(jpath)
     return found is not None and len(found) > 0
+
+
+def replace_path(spark: SparkSession, new: str, path: str) -> None:
+    """Put what lies at ``new`` in the place of ``path``."""
+    source, fs = hadoop_path(spark, new)
+    target, _ = hadoop_path(spark, path)
+    if fs.exists(target):
+        fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"could not move {new} to {path}")
+
+
+def overlaps(spark: SparkSession, a: str, b: str) -> bool:
+    """Whether two paths are the same place, or one lies inside the other."""
+    full = []
+    for path in (a, b):
+        jpath, fs = hadoop_path(spark, path)
+        full.append(fs.makeQualified(jpath).toString().rstrip("/") + "/")
+    return full[0].startswith(full[1]) or full[1].startswith(full[0])

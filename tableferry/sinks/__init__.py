@@ -11,7 +11,7 @@ from tableferry.sinks.jdbc import write_table
 from tableferry.sinks.xlsx import write_xlsx
 from tableferry.sources import as_flag
 from tableferry.sources.jdbc import is_database
-from tableferry.sources.objects import OBJECT_TYPES, connect
+from tableferry.sources.objects import OBJECT_TYPES, connect, object_uri
 
 FILE_TYPES = ("csv", "excel")
 
@@ -23,19 +23,20 @@ def write_endpoint(
     truncate: bool = False,
     batch_size: int | None = None,
     mode: str = "overwrite",
+    swap: bool = False,
     **options,
 ) -> None:
     """Write a frame: files and objects are replaced, database tables appended to.
 
     ``mode="append"`` adds to files instead.  ``truncate`` empties a database
-    table first.  Further options (``create``, ``atomic``, ``batch``) go to the
+    table first.  ``swap`` says that the frame reads from the place it replaces.
+    Further options (``create``, ``atomic``, ``batch``) go to the
     database writer.
     """
     ep = Endpoint.of(endpoint)
     if ep.type == "csv":
-        write_csv(
-            df, ep.need("path"), single_file=as_flag(ep.get("singleFile", False)), mode=mode
-        )
+        single = as_flag(ep.get("singleFile", False))
+        write_csv(df, ep.need("path"), single_file=single, mode=mode, swap=swap)
     elif ep.type == "excel":
         write_xlsx(df, ep.need("path"), ep.get("sheet"), mode=mode)
     elif is_database(ep):
@@ -43,8 +44,10 @@ def write_endpoint(
     elif ep.type in OBJECT_TYPES:
         uri = connect(df.sparkSession, ep)
         single = as_flag(ep.get("singleFile", False))
-        write_csv(df, uri, style="object", single_file=single, mode=mode)
+        write_csv(df, uri, style="object", single_file=single, mode=mode, swap=swap)
     elif ep.type == "spark":
+        if swap:
+            raise SpecError("a table cannot be read and replaced by one copy")
         writer = df.write.mode("overwrite" if truncate else ep.get("mode", mode))
         writer = writer.format(ep.get("format", "parquet")).options(**ep.get("options", {}))
         if ep.get("table"):
@@ -55,6 +58,13 @@ def write_endpoint(
         raise SpecError(fixed.UNSUPPORTED_DESTINATION.format(ep.type))
 
 
+def place(ep: Endpoint) -> str | None:
+    """Where the files of an endpoint lie; None for tables."""
+    if ep.type in OBJECT_TYPES:
+        return object_uri(ep)
+    return ep.get("path") if ep.type in (*FILE_TYPES, "spark") else None
+
+
 def output_path(ep: Endpoint) -> str | None:
     """The path a run reports; only file destinations have one."""
     return ep.get("path") if ep.type in FILE_TYPES else None

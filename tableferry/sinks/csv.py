@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tableferry.functions.casts import TEMPORAL, js_text
 from tableferry.operators.mapping import positional
-from tableferry.scratch import hadoop_path
+from tableferry.scratch import hadoop_path, replace_path
 from tableferry.sources.csv import clean_path
 
 WRITE_OPTIONS = {
@@ -59,9 +59,13 @@ def write_csv(
     style: str = "file",
     single_file: bool = False,
     mode: str = "overwrite",
+    swap: bool = False,
 ) -> None:
     """Write a folder of CSV parts, each with the header; an old one is replaced.
 
+    ``swap`` writes beside ``path`` and replaces it at the end, for a frame that
+    reads from the very place it is to replace.
+
     ``single_file`` gives one file at ``path`` instead.  The parts are still written
     in parallel; joining them is refused beyond ``SINGLE_FILE_BYTES``.
     """
@@ -73,7 +77,10 @@ def write_csv(
     empty = '""' if len(df.columns) == 1 else ""
     text = as_text(df, style)
     if not single_file:
-        text.write.mode(mode).options(**WRITE_OPTIONS, emptyValue=empty, header=True).csv(path)
+        target = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}" if swap else path
+        text.write.mode(mode).options(**WRITE_OPTIONS, emptyValue=empty, header=True).csv(target)
+        if swap:
+            replace_path(df.sparkSession, target, path)
         return
     parts = f"{path}.parts-{uuid.uuid4().hex}"
     text.write.options(**WRITE_OPTIONS, emptyValue=empty, header=False).csv(parts)

@@ -1,0 +1,131 @@
+import glob
+import zipfile
+from datetime import datetime
+
+import pytest
+
+from tableferry import discover, migrate
+from tableferry.sinks import xlsx as sink
+from tableferry.sinks.xlsx import write_xlsx
+from tableferry.sources.xlsx import Header, read_xlsx, sheet_rows
+
+MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def book(path, cells, shared="", sheets=(("One", "rId1"), ("Two", "rId2"))):
+    """A workbook as other programs write it: shared strings, two sheets."""
+    names = "".join(f'<sheet name="{n}" sheetId="{i + 1}" r:id="{r}"/>' for i, (n, r) in enumerate(sheets))
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{REL}"><sheets>{names}</sheets></workbook>')
+        z.writestr(
+            "xl/_rels/workbook.xml.rels",
+            '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+            '<Relationship Id="rId1" Target="worksheets/sheet1.xml"/>'
+            '<Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
+        )
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{MAIN}">{shared}</sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{MAIN}"><sheetData>{cells}</sheetData></worksheet>')
+        z.writestr(
+            "xl/worksheets/sheet2.xml",
+            f'<worksheet xmlns="{MAIN}"><sheetData><row r="1"><c r="A1" t="str"><v>only</v></c></row>'
+            '<row r="2"><c r="A2" t="b"><v>1</v></c></row></sheetData></worksheet>',
+        )
+    return path
+
+
+CELLS = (
+    '<row r="2"><c r="B2" t="s"><v>0</v></c><c r="C2" t="s"><v>0</v></c><c r="E2"><v>7</v></c></row>'
+    '<row r="3"><c r="B3"><v>1.5</v></c><c r="C3" t="s"><v>1</v></c><c r="D3" t="e"><v>#N/A</v></c></row>'
+    '<row r="4"></row>'
+    '<row r="5"><c r="B5"><v>2</v></c><c r="C5" t="inlineStr"><is><t>in</t><rPh><t>no</t></rPh></is></c>'
+    '<c r="E5" t="b"><v>0</v></c><c r="F5"><v>9</v></c></row>'
+)
+SHARED = "<si><t>n</t></si><si><r><t>ri</t></r><r><t>ch_x000A_</t></r><rPh><t>no</t></rPh></si>"
+
+
+def test_foreign_workbook(spark, path):
+    df = read_xlsx(spark, book(path("a.xlsx"), CELLS, SHARED))
+    assert df.columns == ["n", "n_1", "__EMPTY", "7", "__EMPTY_1"]
+    assert [f.dataType.simpleString() for f in df.schema] == ["double", "string", "string", "boolean", "double"]
+    assert rows(df) == [(1.5, "rich\n", None, None, None), (2.0, "in", None, False, 9.0)]
+
+
+def test_sheets_by_name(spark, path):
+    p = book(path("a.xlsx"), CELLS, SHARED)
+    assert rows(read_xlsx(spark, p, "Two")) == [(True,)]
+    assert read_xlsx(spark, p, "Three").columns == []
+
+
+def test_round_trip_of_types(spark, path):
+    df = spark.createDataFrame(
+        [(1, 2.5, True, "a<&>\"\n\u0001 _x0041_", datetime(2024, 1, 1, 12)), (None, None, None, "", None)],
+        "i int, d double, b boolean, s string, t timestamp_ntz",
+    )
+    write_xlsx(df, path("out"), "Data")
+    got = read_xlsx(spark, path("out"), "Data")
+    assert got.columns == df.columns
+    assert rows(got) == [(1.0, 2.5, True, "a<&>\"\n\u0001 _x0041_", 45292.5), (None, None, None, "", None)]
+
+
+def test_mixed_column_becomes_text(spark, path):
+    df = spark.createDataFrame([("x", 1.0)], "a string, b double")
+    write_xlsx(df, path("out"))
+    write_xlsx(spark.createDataFrame([(1.5, True)], "a double, b boolean"), path("out"), mode="append")
+    assert rows(read_xlsx(spark, path("out"))) == [("1.5", "true"), ("x", "1")]
+
+
+def test_folder_per_partition_and_overwrite(spark, path):
+    write_xlsx(spark.range(100).repartition(4), path("out"))
+    assert len(glob.glob(path("out") + "/*.xlsx")) == 4
+    write_xlsx(spark.range(10).repartition(2), path("out"))
+    assert len(glob.glob(path("out") + "/*.xlsx")) == 2 and not glob.glob(path("out") + "/_temp*")
+    assert read_xlsx(spark, path("out")).count() == 10
+
+
+def test_rollover_to_further_workbooks(spark, path, monkeypatch):
+    monkeypatch.setattr(sink, "MAX_ROWS", 11)
+    write_xlsx(spark.range(25).coalesce(1), path("out"))
+    assert len(glob.glob(path("out") + "/*.xlsx")) == 3
+    assert sorted(r[0] for r in read_xlsx(spark, path("out")).collect()) == [float(i) for i in range(25)]
+    with pytest.raises(Exception, match="more rows than one workbook holds"):
+        write_xlsx(spark.range(25), path("one.xlsx"))
+    assert not glob.glob(path("one.xlsx*"))
+
+
+def test_long_text_is_an_error(spark, path):
+    with pytest.raises(Exception, match="at most 32767 characters"):
+        write_xlsx(spark.createDataFrame([("x" * 40000,)], "s string"), path("out"))
+
+
+def test_single_workbook_copy_and_discovery(spark, path):
+    target = {"dbType": "Excel", "config": {"path": path("new/book.xlsx"), "sheet": "S"}}
+    assert discover(spark, target).count() == 0
+    write_xlsx(spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string"), path("in.xlsx"))
+    result = migrate(spark, {"source": {"dbType": "excel", "config": {"path": path("in.xlsx")}}, "destination": target})
+    assert result.ok, result.message
+    assert result.moved == 2 and result.output_url == path("new/book.xlsx")
+    assert rows(discover(spark, target)) == [(0, "id", "STRING"), (1, "s", "STRING")]
+    write_xlsx(spark.createDataFrame([], "id int"), path("empty.xlsx"))
+    assert discover(spark, {"dbType": "excel", "config": {"path": path("empty.xlsx")}}).count() == 0
+
+
+def test_explicit_schema_spares_the_first_pass(spark, path):
+    write_xlsx(spark.createDataFrame([(1, "a")], "id int, s string"), path("out"))
+    schema = spark.createDataFrame([], "s string, id string").schema
+    assert rows(read_xlsx(spark, path("out"), schema=schema)) == [("a", "1")]
+
+
+def test_header_names():
+    header = Header({2: "a", 4: "a", 5: True, 6: 2.5})
+    assert header.names == ["a", "__EMPTY", "a_1", "TRUE", "2.5"]
+    assert header.name(7) == "__EMPTY_1" and header.name(1) is None
+
+
+def test_rows_without_values_are_left_out(path):
+    content = open(book(path("a.xlsx"), CELLS, SHARED), "rb").read()
+    assert len(list(sheet_rows(content, None))) == 3
