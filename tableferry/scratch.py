@@ -41,6 +41,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def total_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Size of all files at or below paths and patterns."""
+    total = 0
+    for path in paths:
+        jpath, fs = hadoop_path(spark, path)
+        for status in fs.globStatus(jpath) or ():
+            total += fs.getContentSummary(status.getPath()).getLength()
+    return total
+
+
 def replace_path(spark: SparkSession, new: str, path: str) -> None:
     """Put what lies at ``new`` in the place of ``path``."""
     source, fs = hadoop_path(spark, new)

@@ -16,6 +16,11 @@ def as_flag(value) -> bool:
     return value if isinstance(value, bool) else str(value).lower() in ("true", "1", "yes")
 
 
+def as_choice(value) -> bool | None:
+    """A flag that may be left open."""
+    return None if value in (None, "", "auto") else as_flag(value)
+
+
 def read_endpoint(
     spark: SparkSession, endpoint, *, malformed_column: str | None = None
 ) -> DataFrame:
@@ -25,7 +30,7 @@ def read_endpoint(
     format or table Spark knows (``format`` and ``path``, or ``table``).
     """
     ep = Endpoint.of(endpoint)
-    multiline = as_flag(ep.get("multiline", True))
+    multiline = as_choice(ep.get("multiline"))
     if ep.type == "csv":
         return read_csv(
             spark,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tableferry.scratch import path_exists
+from tableferry.scratch import path_exists, total_bytes
 
 READ_OPTIONS = {
     "quote": '"',
@@ -23,9 +23,12 @@ def clean_path(path: str) -> str:
     return path.replace("\\", "/")
 
 
-def read_header(spark: SparkSession, path, multiline: bool = True) -> list[str]:
-    """Names in the header line, as written; no names for an empty file."""
-    raw = spark.read.options(**READ_OPTIONS, multiLine=multiline, header=False).csv(path)
+def read_header(spark: SparkSession, path) -> list[str]:
+    """Names in the header line, as written; no names for an empty file.
+
+    Only the first record of one file is parsed.
+    """
+    raw = spark.read.options(**READ_OPTIONS, multiLine=True, header=False).csv(path)
     first = raw.first() if raw.columns else None
     return [] if first is None else ["" if v is None else v for v in first]
 
@@ -36,11 +39,29 @@ def _cells_in(line: Column) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
+def needs_multiline(spark: SparkSession, paths: list[str]) -> bool:
+    """Whether the files have to be read whole, one task per file.
+
+    Files of at most one split are read that way in any case.  Larger ones can be
+    split if no cell holds a line break: a cell that does starts on a line with an
+    odd number of quotes, and a parallel scan for such a line settles it.
+    """
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if total_bytes(spark, paths) <= split:
+        return True
+    largest = spark.read.format("binaryFile").load(paths).agg(F.max("length")).first()[0]
+    if largest is None or largest <= split:
+        return True
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return not spark.read.text(paths).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
     *,
-    multiline: bool = True,
+    multiline: bool | None = None,
     blanks: str = "exact",
     strict_rows: bool = False,
     malformed_column: str | None = None,
@@ -56,7 +77,8 @@ def read_csv(
 
     ``strict_rows`` fails on a row with too few or too many cells.
     ``multiline=False`` splits large files over tasks; it is right only when no
-    cell holds a line break.  ``malformed_column`` adds a flag for rows whose
+    cell holds a line break.  By default large files are looked through for that
+    first, and small ones are read whole.  ``malformed_column`` adds a flag for rows whose
     number of cells differs from the header's.  ``stream`` gives a streaming
     frame over the files that are there and those that come later.
     """
@@ -65,9 +87,11 @@ def read_csv(
     paths = [clean_path(p) for p in ([path] if isinstance(path, str) else path)]
     if missing_ok and not any(path_exists(spark, p) for p in paths):
         return spark.createDataFrame([], T.StructType([]))
-    header = read_header(spark, paths, multiline)
+    header = read_header(spark, paths)
     if not header:
         return spark.createDataFrame([], T.StructType([]))
+    if multiline is None:
+        multiline = stream or needs_multiline(spark, paths)
 
     names = [f"c{i}" for i in range(len(header))]
     flag_rows = not strict_rows and (blanks == "exact" or malformed_column is not None)

@@ -145,3 +145,22 @@ def test_single_file_is_bounded(spark, path, monkeypatch):
     monkeypatch.setattr(sink, "SINGLE_FILE_BYTES", 10)
     with pytest.raises(ValueError, match="too many for one file"):
         write_csv(spark.range(100), path("one.csv"), single_file=True)
+
+
+def test_large_files_are_split_where_that_is_right(spark, path):
+    """Splits of 1 kB: a file without line breaks in cells is read by many tasks."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        data = [(str(i), f'say "{i}", x') for i in range(2000)]
+        write_csv(spark.createDataFrame(data, "i string, s string").coalesce(1), path("plain"))
+        plain = read_csv(spark, path("plain"))
+        assert plain.rdd.getNumPartitions() > 4
+        assert rows(plain) == sorted(data)
+        broken = [(i, s + "\n") if i == "77" else (i, s) for i, s in data]
+        write_csv(spark.createDataFrame(broken, "i string, s string").coalesce(1), path("broken"))
+        whole = read_csv(spark, path("broken"))
+        assert whole.rdd.getNumPartitions() == 1
+        assert rows(whole) == sorted(broken)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

@@ -1,0 +1,63 @@
+import pytest
+
+from tableferry import discover, infer_all_rows, infer_first_row
+from tableferry.plans.spec import Endpoint, SpecError, resolve_type
+
+
+def rows(df):
+    return [tuple(r) for r in df.orderBy("pos").collect()]
+
+
+CELLS = [
+    ("-12", "1.5", "2024-01-02T00:00", "x", "", "+1", "1.", "12\n"),
+    ("7", "3", "2024-13-99", "5", "4", "2", ".5", "3"),
+]
+DDL = "a string, b string, c string, d string, e string, f string, g string, h string"
+
+
+def labels(df):
+    return [r[2] for r in rows(df)]
+
+
+def test_first_row(spark, path):
+    df = spark.createDataFrame(CELLS, DDL)
+    want = ["INT", "FLOAT", "DATE", "STRING", "STRING", "STRING", "STRING", "STRING"]
+    assert labels(infer_first_row(df, order_by=["a"])) == want
+    want_last = ["INT", "INT", "DATE", "INT", "INT", "INT", "STRING", "INT"]
+    assert labels(infer_first_row(df, order_by=["d"])) == want_last
+
+
+def test_first_row_of_a_file(spark, path):
+    with open(path("p.csv"), "w") as f:
+        f.write("id,name,city\n1,Ada,Lucknow\nx,1,2\n")
+    got = rows(discover(spark, {"dbType": "CSV", "config": {"path": path("p.csv")}}))
+    assert got == [(0, "id", "INT"), (1, "name", "STRING"), (2, "city", "STRING")]
+    assert discover(spark, {"dbType": "csv", "config": {"path": path("none.csv")}}).count() == 0
+
+
+def test_all_rows(spark):
+    df = spark.createDataFrame(CELLS + [("", "", "", "", "", "", "", None)], DDL)
+    want = ["INT", "FLOAT", "DATE", "STRING", "INT", "STRING", "STRING", "STRING"]
+    assert labels(infer_all_rows(df)) == want
+    blank = spark.createDataFrame([("", None)], "a string, b string")
+    assert labels(infer_all_rows(blank)) == ["STRING", "STRING"]
+
+
+def test_order_key_is_typed(spark):
+    df = spark.createDataFrame([(10, "a"), (9, "1")], "k int, v string")
+    assert labels(infer_first_row(df, order_by=["k"])) == ["INT", "INT"]
+
+
+@pytest.mark.parametrize(
+    "name,want",
+    [("PostgreSQL", "postgres"), ("postgresql", "postgres"), ("SQLServer", "mssql"), ("MSSQL", "mssql"),
+     ("MySQL", "mysql"), ("Oracle", "oracle"), ("CSV", "csv"), ("Excel", "excel"), ("azureBlob", "azureBlob"),
+     ("AZUREBLOB", "azureBlob"), ("S3", "s3"), ("gcs", "gcs"), ("dbase", "dbase"), (None, ""), ("", "")],
+)
+def test_type_names(name, want):
+    assert resolve_type(name) == want
+
+
+def test_unknown_type(spark):
+    with pytest.raises(SpecError, match="Unsupported type: dbase"):
+        discover(spark, Endpoint("dbase", {}))
