@@ -63,28 +63,12 @@ def _shortest(v: Column, text: Column) -> Column:
 def _integer_text(v: Column) -> Column:
     """Whole doubles from 2**53 up to 9.2e18: the fewest leading digits, then zeros.
 
-    The exact integer is rounded to 15, 16 and 17 digits, ties to even, until the
-    result is the same double.
+    Neighbours lie at most 1024 apart there, so only the last four digits can be
+    zeros that the exact integer does not have.
     """
-    n = F.abs(v).cast("bigint")
-
-    def rounded(unit: Column) -> Column:
-        shifted = n + F.floor(unit / 2).cast("bigint")
-        up = shifted - shifted % unit
-        return F.when((shifted % unit == 0) & (up % (unit * 2) == unit), up - unit).otherwise(up)
-
-    def unit(digits: int) -> Column:
-        powers = [10 ** max(size - digits, 0) for size in (16, 17, 18, 19)]
-        limits = (10**16, 10**17, 10**18)
-        out = F
-        for limit, power in zip(limits, powers):
-            out = out.when(n < limit, F.lit(power).cast("bigint"))
-        return out.otherwise(F.lit(powers[3]).cast("bigint"))
-
-    shorter = [rounded(unit(d)) for d in (15, 16)]
-    fits = [c.cast("double") == F.abs(v) for c in shorter]
-    best = F.when(fits[0], shorter[0]).when(fits[1], shorter[1]).otherwise(rounded(unit(17)))
-    return F.when(v < 0, -best).otherwise(best).cast("string")
+    n = v.cast("bigint")
+    fewer = [F.when(F.bround(n, -k).cast("double") == v, F.bround(n, -k)) for k in (4, 3, 2, 1)]
+    return F.coalesce(*fewer, n).cast("string")
 
 
 def _plain(text: Column, scale: int) -> Column:
@@ -177,8 +161,9 @@ def _number_from_text(c: Column, blank_as_null: bool) -> Column:
     s = js_trim(c)
     blank = F.lit(None).cast("double") if blank_as_null else F.lit(0.0)
     return (
-        F.when(s.rlike(fixed.JS_DECIMAL), s.try_cast("double"))
+        F.when(c.rlike(fixed.JS_DECIMAL), c.try_cast("double"))
         .when(s == "", blank)
+        .when(s.rlike(fixed.JS_DECIMAL), s.try_cast("double"))
         # Java reads hexadecimal doubles, which end in a binary exponent
         .when(s.rlike("^0[xX][0-9a-fA-F]+$"), F.concat(s, F.lit("p0")).try_cast("double"))
         .when(s.rlike("^0([bB][01]+|[oO][0-7]+)$"), _radix_number(s))

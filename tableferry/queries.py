@@ -618,7 +618,8 @@ def database(spark: SparkSession) -> str:
     url = spark.conf.get("spark.tableferry.jdbc.url", None)
     if url:
         return url
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.tableferry.jdbc.url to a database the executors can reach")
     system = spark._jvm.java.lang.System
     if system.getProperty("derby.stream.error.field") is None:
