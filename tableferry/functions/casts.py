@@ -84,28 +84,30 @@ def _scientific(text: Column, size: Column) -> Column:
 
 
 def _double_text(v: Column) -> Column:
-    """Full digits from 1e-6 up to 1e21, where 38 decimal digits hold every value."""
+    """Full digits from 1e-6 up to 1e21, and an exponent beyond.
+
+    Below 2**53 a double that is not whole has at most 16 digits before the point
+    and, from 1e-6 on, 22 after it.
+    """
     text, size = v.cast("string"), F.abs(v)
     return (
         F.when((size < 9007199254740992.0) & (v == F.floor(v)), v.cast("bigint").cast("string"))
         .when(~text.contains("E"), text)
-        .when(size < 1e-6, _scientific(text, size))
-        .when(size >= 1e21, _scientific(_shortest(v, text), size))
-        .when(size >= 9.2e18, _plain(_shortest(v, text), 15))
-        .when(size >= 9007199254740992.0, _integer_text(v))
-        .when(size < 1, _plain(text, 30))
-        .otherwise(_plain(text, 15))
+        .when((size >= 1e-6) & (size < 9007199254740992.0), _plain(text, 22))
+        .when((size >= 1e-6) & (size < 9.2e18), _integer_text(v))
+        .when((size >= 1e-6) & (size < 1e21), _plain(_shortest(v, text), 15))
+        .otherwise(_scientific(_shortest(v, text), size))
     )
 
 
 def _float_text(v: Column) -> Column:
+    """The same for floats, which have nine digits at most."""
     text, size = v.cast("string"), F.abs(v)
     return (
         F.when((size < 16777216.0) & (v == F.floor(v)), v.cast("bigint").cast("string"))
         .when(~text.contains("E"), text)
-        .when((size >= 1e21) | (size < 1e-6), _scientific(text, size))
-        .when(size < 1, _plain(text, 30))
-        .otherwise(_plain(text, 15))
+        .when((size >= 1e-6) & (size < 1e21), _plain(text, 15))
+        .otherwise(_scientific(text, size))
     )
 
 

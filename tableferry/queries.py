@@ -36,16 +36,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None):
+def query(sql: str | None, name: str | None = None):
+    """Register a query under ``name``, or else under the name of its function."""
+
     def register(fn):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             prepare(spark)
             return fn(spark, sf_dir)
 
-        QUERIES[fn.__name__] = run
+        key = name or fn.__name__
+        QUERIES[key] = run
         if sql:
-            ORACLES[fn.__name__] = sql
+            ORACLES[key] = sql
         return run
 
     return register
@@ -413,7 +416,10 @@ CUSTOMER_TEXT = {
 }
 
 
-@query(first_row_sql(CUSTOMER_TEXT, "customer ORDER BY customer.c_custkey LIMIT 1"))
+@query(
+    first_row_sql(CUSTOMER_TEXT, "customer ORDER BY customer.c_custkey LIMIT 1"),
+    name="infer_first_row",
+)
 def infer_first_row_by_key(spark, sf_dir):
     return infer_first_row(table(spark, sf_dir, "customer"), order_by=["c_custkey"])
 
@@ -444,7 +450,8 @@ EVENTS_TEXT = {
 @query(
     " UNION ALL ".join(
         all_label_sql(c, text, "events", i) for i, (c, text) in enumerate(EVENTS_TEXT.items())
-    )
+    ),
+    name="infer_all_rows",
 )
 def infer_all_rows_events(spark, sf_dir):
     return infer_all_rows(table(spark, sf_dir, "events"))
@@ -786,7 +793,7 @@ def copy_metrics(spark, sf_dir):
                           AS VARCHAR) || 's' END AS duration,
            CASE WHEN o_orderstatus = 'P' THEN '-' ELSE {iso_sql('o_orderdate')} END AS started,
            '-' AS output
-    FROM orders""")
+    FROM orders""", name="run_history")
 def run_history_rows(spark, sf_dir):
     status = F.col("o_orderstatus")
     day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -807,7 +814,7 @@ def run_history_rows(spark, sf_dir):
     SELECT 'customer' AS "runId", 'succeeded' AS status, count(*) AS "rowsRead",
            count(*) AS "rowsWritten" FROM customer
     UNION ALL SELECT 'orders', 'succeeded', count(*), count(*) FROM orders
-    UNION ALL SELECT 'lineitem', 'succeeded', count(*), count(*) FROM lineitem""")
+    UNION ALL SELECT 'lineitem', 'succeeded', count(*), count(*) FROM lineitem""", name="run_summaries")
 def run_summaries_read(spark, sf_dir):
     """Three logged copies, and their summaries read back."""
     runs, out = scratch_path(spark, "runs"), scratch_path(spark, "copies")
@@ -820,7 +827,7 @@ def run_summaries_read(spark, sf_dir):
 
 @query(f"""
     SELECT {iso_sql('ts')} AS ts, event_type AS "runId", event_id AS "eventId", value
-    FROM events""")
+    FROM events""", name="run_events")
 def run_events_read(spark, sf_dir):
     """Events as a JSON-lines log, one log per kind, and all logs read back."""
     runs = scratch_path(spark, "events")
@@ -908,7 +915,7 @@ def order_specs(spark, sf_dir) -> DataFrame:
     UNION ALL
     SELECT o_orderkey, 'd', 'customer ' || o_custkey, 'no incoming connection', 'error',
            'customer ' || o_custkey || ': no incoming connection'
-    FROM orders WHERE o_totalprice <= 100000""")
+    FROM orders WHERE o_totalprice <= 100000""", name="audit_specs")
 def audit_order_specs(spark, sf_dir):
     """Issues of a table of workflows, stored as JSON text."""
     specs = export_specs(order_specs(spark, sf_dir), "o_orderkey", masked=False)
@@ -924,13 +931,13 @@ def audit_order_specs(spark, sf_dir):
       || '","dbType":"mysql","config":{"host":"db","port":null,"user":"me","password":"****",'
       || '"database":"shop","table":"orders"}}],"edges":['
       || CASE WHEN o_totalprice > 100000 THEN '{"from":"s","to":"d"}' ELSE '' END || ']}' AS spec
-    FROM orders""")
+    FROM orders""", name="export_specs")
 def export_order_specs(spark, sf_dir):
     """Workflows as JSON text with the passwords masked."""
     return export_specs(order_specs(spark, sf_dir), "o_orderkey")
 
 
-@query("SELECT event_id AS id, event_type AS kind, value AS amount, 1::BIGINT AS copies FROM events")
+@query("SELECT event_id AS id, event_type AS kind, value AS amount, 1::BIGINT AS copies FROM events", name="incremental_copy")
 def incremental_copy_events(spark, sf_dir):
     """Two runs over the same files copy every row once."""
     out, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "checkpoint")
