@@ -96,7 +96,7 @@ def _double_text(v: Column) -> Column:
         .when((size >= 1e-6) & (size < 9007199254740992.0), _plain(text, 22))
         .when((size >= 1e-6) & (size < 9.2e18), _integer_text(v))
         .when((size >= 1e-6) & (size < 1e21), _plain(_shortest(v, text), 15))
-        .otherwise(_scientific(_shortest(v, text), size))
+        .when((size < 1e-6) | (size >= 1e21), _scientific(_shortest(v, text), size))
     )
 
 
@@ -107,7 +107,7 @@ def _float_text(v: Column) -> Column:
         F.when((size < 16777216.0) & (v == F.floor(v)), v.cast("bigint").cast("string"))
         .when(~text.contains("E"), text)
         .when((size >= 1e-6) & (size < 1e21), _plain(text, 15))
-        .otherwise(_scientific(text, size))
+        .when((size < 1e-6) | (size >= 1e21), _scientific(text, size))
     )
 
 
