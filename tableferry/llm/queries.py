@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableferry.llm.common import documents
+from tableferry.llm import langid, toxicity
+from tableferry.llm.common import documents, fold
+from tableferry.llm.packing import pack
 from tableferry.llm.quality import apply_rules, learn_rules
 from tableferry.llm.secrets import BlobLedger, digest
 from tableferry.llm.sharding import sharded
@@ -28,6 +30,29 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def held_out():
+    return F.coalesce(fold() == 1, F.lit(False)).alias("held_out")
+
+
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, langid.train(docs), ["doc_id"])
+    return found.select("doc_id", held_out(), "lang_pred", "score")
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = toxicity.score(docs, toxicity.train(docs, labels(spark, sf_dir)), ["doc_id"])
+    return found.select("doc_id", held_out(), "score", "predicted")
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(documents(spark, sf_dir), "doc_id", "text", SHARDS)
