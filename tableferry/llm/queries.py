@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tableferry.llm import langid, toxicity
 from tableferry.llm.common import documents, fold
+from tableferry.llm.decontaminate import leaks
+from tableferry.llm.linededup import deduplicated
 from tableferry.llm.packing import pack
 from tableferry.llm.quality import apply_rules, learn_rules
 from tableferry.llm.secrets import BlobLedger, digest
@@ -53,6 +55,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(documents(spark, sf_dir).select("doc_id", "text"), dropped="n_dropped")
+
+
 @query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(documents(spark, sf_dir), "doc_id", "text", SHARDS)
@@ -64,6 +71,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(ledger.scan(documents(spark, sf_dir).select("doc_id", "text"), "text", "0"), "doc_id")
 
 
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
