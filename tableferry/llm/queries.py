@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableferry.llm import langid, toxicity
+import corpus_pipeline
+from tableferry.llm import langid, toxicity, transcripts
 from tableferry.llm.common import documents, fold
 from tableferry.llm.decontaminate import leaks
 from tableferry.llm.linededup import deduplicated
@@ -55,6 +56,21 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+@query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = transcripts.raw_transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    found = transcripts.parse(raw, transcripts.train(raw), ["conv_id", "segment", "roles"])
+    return found.select(
+        "conv_id",
+        "segment",
+        F.coalesce(fold("conv_id") == 1, F.lit(False)).alias("held_out"),
+        F.size("turns").alias("n_turns"),
+        F.array_join("turns.role", ",").alias("roles_found"),
+        F.array_join("roles", ",").alias("roles_told"),
+        "rendered",
+    )
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(documents(spark, sf_dir).select("doc_id", "text"), dropped="n_dropped")
@@ -89,3 +105,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
     )
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -51,18 +51,19 @@ def fingerprint(text: str | None, words: int) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """``key`` and ``fingerprint`` (long) of every row, by Arrow batches."""
+def fingerprints(docs: DataFrame, keep: list[str], text: str, words: int) -> DataFrame:
+    """``keep`` and ``fingerprint`` (long) of every row, by Arrow batches."""
 
     def batches(frames):
         for batch in frames:
-            prints = [fingerprint(t, words) for t in batch.column(1).to_pylist()]
+            prints = [fingerprint(t, words) for t in batch.column(len(keep)).to_pylist()]
             signed = np.array(prints, dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed, pa.int64())], [key, "fingerprint"])
+            columns = [*batch.columns[: len(keep)], pa.array(signed, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "fingerprint"])
 
-    narrow = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
-    kind = narrow.schema[key].dataType.simpleString()
-    return narrow.mapInArrow(batches, f"`{key}` {kind}, fingerprint bigint")
+    narrow = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    kept = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in keep]
+    return narrow.mapInArrow(batches, ", ".join([*kept, "fingerprint bigint"]))
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -153,6 +154,15 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.unionByName(tied.where("a <> b")).distinct()
 
 
+def classes(prints: DataFrame, key: str) -> DataFrame:
+    """``fingerprint`` with the ``root`` and the smallest key, ``component_id``, of its component."""
+    distinct = prints.groupBy("fingerprint").agg(F.min(key).alias("_least"))
+    roots = components(links(distinct)).withColumnsRenamed({"node": "fingerprint"})
+    members = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    smallest = members.groupBy("root").agg(F.min("_least").alias("component_id"))
+    return members.join(smallest, "root").select("fingerprint", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """``key``, ``fingerprint`` (long) and ``component_id`` of every row.
 
@@ -161,13 +171,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     linked like any other. Repeated rows stay; a NULL key never names a component unless
     all keys of it are NULL; an empty table gives no rows; other columns are left out.
     """
-    prints = checkpoint(fingerprints(docs, key, text, words))
-    distinct = prints.groupBy("fingerprint").agg(F.min(key).alias("_least"))
-    roots = components(links(distinct)).withColumnsRenamed({"node": "fingerprint"})
-    members = distinct.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    smallest = members.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = members.join(smallest, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select(key, "fingerprint", "component_id")
+    prints = checkpoint(fingerprints(docs, [key], text, words))
+    return prints.join(classes(prints, key), "fingerprint").select(key, "fingerprint", "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for a component.
+
+    That is the row of the smallest key, one of them if rows repeat the key, or one row
+    of a component whose keys are all NULL.
+    """
+    prints = checkpoint(fingerprints(docs, [key], text, words))
+    named = checkpoint(classes(prints, key))
+    ids = named.select(F.col("component_id").alias("_id")).where("_id is not null").distinct()
+    known = docs.join(ids, F.col(key) == F.col("_id"), "left_semi").dropDuplicates([key])
+    columns = docs.columns
+    nameless = docs.where(F.col(key).isNull()).toDF(*[f"_c{i}" for i in range(len(columns))])
+    printed = fingerprints(nameless, nameless.columns, f"_c{columns.index(text)}", words)
+    alone = printed.join(named.where("component_id is null"), "fingerprint").dropDuplicates(["root"])
+    return known.unionByName(alone.select(*nameless.columns).toDF(*columns))
 
 
 def hex_text(fingerprint: Column) -> Column:
