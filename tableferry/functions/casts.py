@@ -5,7 +5,7 @@ nothing here leaves the JVM, so a mapping stays inside one code-generated
 projection.  A bad cell becomes NULL (or NaN in the lenient number cast), it
 never fails the job, also under ANSI mode.
 
-The session time zone is taken to be UTC: text without a zone is read in it.
+Instants are read and printed in UTC, whatever the time zone of the session is.
 """
 
 from __future__ import annotations
@@ -22,19 +22,23 @@ NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
 # ISO text: year, optional month and day, optional time and zone.  A leading
 # year is required, because Spark reads a bare '10:00' as today at ten.
-_ISO = (
-    r"^\d{4}(-\d{2}(-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?"
-    r"(Z|[+-]\d{2}:?\d{2})?)?)?)?$"
-)
-
-_ISO_MINUTES = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(Z|[+-]\d{2}:?\d{2})?$"
-
-# Other date spellings read by DATE: pattern that guards, format that parses.
-DATE_FORMATS = (
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+_ISO = r"^(\d{4}(?:-\d{2}(?:-\d{2})?)?)(?:[T ](\d{2}:\d{2})(:\d{2}(?:\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+
+# Other spellings read by DATE.  A weekday before and a zone's name in brackets after it
+# do not count; time and zone are optional; a date without a zone is in UTC.
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_NAME = r"((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)\.?"
+_WEEKDAY = r"^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +)?"
+_CLOCK = r"(?:,?[T ]+(\d{1,2}):(\d{2})(?::(\d{2})(\.\d+)?)?)?(?: ?(?:gmt|utc|z))?([+-]\d{2}:?\d{2})?(?: \([^)]*\))?$"
+# Pattern of the date, and which of its groups are year, month and day.
+DATE_SPELLINGS = (
+    (r"(\d{4})[/-](\d{1,2})[/-](\d{1,2})", (1, 2, 3)),
+    (r"(\d{1,2})/(\d{1,2})/(\d{4})", (3, 1, 2)),
+    (_NAME + r" +(\d{1,2}),? +(\d{4})", (3, 1, 2)),
+    (r"(\d{1,2})[ -]" + _NAME + r",?[ -](\d{4})", (3, 2, 1)),
 )
+EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+DAY_MICROS = 86_400_000_000
 
 
 def is_string(dt: T.DataType) -> bool:
@@ -111,16 +115,31 @@ def _float_text(v: Column) -> Column:
     )
 
 
+def epoch_micros(c: Column, dt: T.DataType) -> Column:
+    """Microseconds since 1970 of an instant, a wall-clock time in UTC or a date."""
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("bigint") * DAY_MICROS
+    if isinstance(dt, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), c)
+    return F.unix_micros(c)
+
+
 def _instant(c: Column, dt: T.DataType) -> Column:
-    return c if isinstance(dt, T.TimestampType) else c.cast("timestamp")
+    return c if isinstance(dt, T.TimestampType) else F.timestamp_micros(epoch_micros(c, dt))
 
 
-def _timestamp_text(c: Column) -> Column:
+def _timestamp_text(micros: Column) -> Column:
     """ISO-8601 UTC text; microseconds are shown only where there are any."""
-    milli = F.unix_micros(c) % 1000 == 0
-    return F.when(milli, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).otherwise(
-        F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    )
+    day = F.date_from_unix_date(F.floor(micros / DAY_MICROS).cast("int")).cast("string")
+    rest = F.pmod(micros, F.lit(DAY_MICROS))
+
+    def part(unit: int, of: int, width: int = 2) -> Column:
+        value = F.floor(rest / unit).cast("bigint") % of
+        return F.lpad(value.cast("string"), width, "0")
+
+    fraction = F.when(micros % 1000 == 0, part(1000, 1000, 3)).otherwise(part(1, 1_000_000, 6))
+    clock = [part(3_600_000_000, 24), F.lit(":"), part(60_000_000, 60), F.lit(":"), part(1_000_000, 60)]
+    return F.concat(day, F.lit("T"), *clock, F.lit("."), fraction, F.lit("Z"))
 
 
 def js_text(c: Column, dt: T.DataType) -> Column:
@@ -132,7 +151,7 @@ def js_text(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.FloatType):
         return _float_text(c)
     if isinstance(dt, TEMPORAL):
-        return _timestamp_text(_instant(c, dt))
+        return _timestamp_text(epoch_micros(c, dt))
     if isinstance(dt, NESTED):
         return F.to_json(c)
     return c.cast("string")
@@ -187,7 +206,7 @@ def js_number(c: Column, dt: T.DataType, blank_as_null: bool = False) -> Column:
     if isinstance(dt, T.BooleanType):
         return c.cast("int").cast("double")
     if isinstance(dt, TEMPORAL):
-        return F.unix_millis(_instant(c, dt)).cast("double")
+        return F.floor(epoch_micros(c, dt) / 1000).cast("double")
     return F.lit(None).cast("double")
 
 
@@ -210,7 +229,41 @@ def _boolean(c: Column, dt: T.DataType) -> Column:
 # --- dates -----------------------------------------------------------------
 
 
-def _date(c: Column, dt: T.DataType, formats=DATE_FORMATS) -> Column:
+def _groups(s: Column, pattern: str, places: tuple[int, ...]) -> list[Column]:
+    """Groups of a whole match, '' for those that took no part; one pass over the text."""
+    found = F.split(F.regexp_replace(s, pattern, ";".join(f"${i}" for i in places)), ";", -1)
+    return [F.get(found, F.lit(k)) for k in range(len(places))]
+
+
+def _spelled(s: Column, pattern: str, places: tuple[int, int, int]) -> Column:
+    """The instant of a date spelled by ``pattern``, with optional time and zone."""
+    whole = "(?i)" + _WEEKDAY + pattern + _CLOCK
+    year, month, day, hour, minute, second, fraction, zone = _groups(s, whole, (*places, 4, 5, 6, 7, 8))
+    named = F.floor((F.call_function("locate", F.lower(F.substring(month, 1, 3)), F.lit(_MONTHS)) + 2) / 3).cast("string")
+    two = lambda c: F.lpad(c, 2, "0")
+    month = F.when(month.rlike("^[0-9]"), month).otherwise(named)
+    iso = F.concat(
+        year, F.lit("-"), two(month), F.lit("-"), two(day), F.lit("T"), two(hour), F.lit(":"), two(minute),
+        F.lit(":"), two(second), fraction, F.when(zone == "", "Z").otherwise(zone),
+    )
+    return F.when(s.rlike(whole), iso.try_cast("timestamp"))
+
+
+def _iso_date(s: Column) -> Column:
+    """ISO text; without a zone it is in UTC."""
+    day, minute, second, zone = _groups(s, _ISO, (1, 2, 3, 4))
+    full = F.when(F.length(day) == 4, F.concat(day, F.lit("-01-01"))).when(
+        F.length(day) == 7, F.concat(day, F.lit("-01"))
+    )
+    clock = F.concat(
+        F.when(minute == "", "00:00").otherwise(minute), F.when(second == "", ":00").otherwise(second),
+        F.when(zone == "", "Z").otherwise(zone),
+    )
+    return F.concat(F.coalesce(full, day), F.lit("T"), clock).try_cast("timestamp")
+
+
+def _date(c: Column, dt: T.DataType, formats=()) -> Column:
+    """``formats`` are further (pattern, format) pairs, tried after the spellings known here."""
     if isinstance(dt, TEMPORAL):
         return _instant(c, dt)
     if isinstance(dt, T.BooleanType):
@@ -225,12 +278,9 @@ def _date(c: Column, dt: T.DataType, formats=DATE_FORMATS) -> Column:
         return F.when(ok, F.timestamp_millis(F.when(ok, n).cast("bigint")))
     if is_string(dt):
         s = js_trim(c)
-        full = F.regexp_replace(s, _ISO_MINUTES, "$1:00$2")  # Spark wants the seconds
-        out = F.when(s.rlike(_ISO_MINUTES), full.try_cast("timestamp"))
-        out = out.when(s.rlike(_ISO), s.try_cast("timestamp"))
-        for guard, fmt in formats:
-            out = out.when(s.rlike(guard), F.try_to_timestamp(s, F.lit(fmt)))
-        return out
+        spelled = [_spelled(s, pattern, places) for pattern, places in DATE_SPELLINGS]
+        more = [F.try_to_timestamp(F.when(s.rlike(guard), s), F.lit(fmt)) for guard, fmt in formats]
+        return F.when(s.rlike(_ISO), _iso_date(s)).otherwise(F.coalesce(*spelled, *more))
     return F.lit(None).cast("timestamp")
 
 
@@ -243,7 +293,7 @@ def cast_strict(
     tag: str | None,
     *,
     blank_as_null: bool = False,
-    date_formats=DATE_FORMATS,
+    date_formats=(),
 ) -> Column:
     """STRING, NUMBER, BOOLEAN or DATE; any other tag leaves the value alone."""
     if tag == "STRING":
@@ -296,7 +346,7 @@ def _leading_int(c: Column, dt: T.DataType) -> Column:
     )
 
 
-def cast_lenient(c: Column, dt: T.DataType, tag: str | None) -> Column:
+def cast_lenient(c: Column, dt: T.DataType, tag: str | None, *, date_formats=()) -> Column:
     """Casts by type-name fragment: ``INTEGER``, ``DOUBLE``, ``BOOL``, ``DATETIME`` ..."""
     if not tag:
         return c
@@ -312,7 +362,7 @@ def cast_lenient(c: Column, dt: T.DataType, tag: str | None) -> Column:
         says_true = F.lower(c) == "true" if is_string(dt) else F.lit(False)
         return F.when(c.isNotNull(), says_true | is_one)
     if kind == "date":
-        return _date(c, dt)
+        return _date(c, dt, date_formats)
     return js_text(c, dt)
 
 

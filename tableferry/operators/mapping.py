@@ -7,7 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tableferry.functions.casts import (
-    DATE_FORMATS,
     cast_lenient,
     cast_strict,
     result_type,
@@ -37,14 +36,14 @@ def mapped_column(
     dialect: str = "strict",
     *,
     blank_as_null: bool = False,
-    date_formats=DATE_FORMATS,
+    date_formats=(),
 ) -> Column:
     """The expression for one target column; a source that is not there is NULL."""
     if item.source not in lookup:
         return F.lit(None).cast(result_type(T.StringType(), item.cast, dialect))
     name, dt = lookup[item.source]
     if dialect == "lenient":
-        return cast_lenient(F.col(name), dt, item.cast)
+        return cast_lenient(F.col(name), dt, item.cast, date_formats=date_formats)
     return cast_strict(
         F.col(name), dt, item.cast, blank_as_null=blank_as_null, date_formats=date_formats
     )

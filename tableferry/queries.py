@@ -7,11 +7,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tableferry.functions.casts import js_text
+from tableferry.functions.casts import EPOCH
 from tableferry.functions.redact import redact
 from tableferry.operators.audit import audit_specs, export_specs
 from tableferry.operators.infer import all_string, infer_all_rows, infer_first_row
@@ -20,15 +19,12 @@ from tableferry.plans.migrate import discover, migrate
 from tableferry.plans.runs import run_events, run_history, run_summaries
 from tableferry.plans.workflow import run_workflow
 from tableferry.scratch import scratch_path
-from tableferry.session import prepare
 from tableferry.sinks import write_endpoint
 from tableferry.sinks.csv import write_csv
-from tableferry.sinks.xlsx import write_xlsx
 from tableferry.sources import read_endpoint
 from tableferry.sources.csv import read_csv
 from tableferry.sources.jdbc import connection, execute
 from tableferry.sources.objects import read_object_csv
-from tableferry.sources.xlsx import read_xlsx
 from tableferry.plans.spec import Endpoint
 from tableferry.streaming.incremental import incremental_copy
 
@@ -40,16 +36,11 @@ def query(sql: str | None, name: str | None = None):
     """Register a query under ``name``, or else under the name of its function."""
 
     def register(fn):
-        @wraps(fn)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            prepare(spark)
-            return fn(spark, sf_dir)
-
         key = name or fn.__name__
-        QUERIES[key] = run
+        QUERIES[key] = fn
         if sql:
             ORACLES[key] = sql
-        return run
+        return fn
 
     return register
 
@@ -268,13 +259,25 @@ def cast_boolean(spark, sf_dir):
     return apply_mapping(items, mapping)
 
 
+#: Spellings of a day, and of a second in UTC.
+DAY_FORMATS = (
+    "yyyy-MM-dd", "yyyy/MM/dd", "MMMM d, yyyy", "d MMM yyyy", "yyyy-M-d", "MMM d, yyyy", "EEE, dd MMM yyyy", "M/d/yyyy",
+)
+INSTANT_FORMATS = (
+    "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "MM/dd/yyyy HH:mm:ss",
+    "EEE MMM dd yyyy HH:mm:ss 'GMT+0000 (Coordinated Universal Time)'", "yyyy/M/d H:mm:ss", "MMMM d, yyyy HH:mm:ss",
+    "d MMM yyyy HH:mm:ss 'UTC'", "yyyy-M-d HH:mm:ss", "MMM d yyyy HH:mm:ss",
+)
+
+
 def date_texts(spark, sf_dir) -> DataFrame:
     """Spellings of o_orderdate, chosen by priority; one of them is no date."""
     day, prio = F.col("o_orderdate"), F.substring("o_orderpriority", 1, 1)
+    spelling = (F.col("o_orderkey") % 8).cast("int")
     raw = (
-        F.when(prio == "1", F.date_format(day, "yyyy-MM-dd"))
+        F.when(prio == "1", F.get(F.array(*[F.date_format(day, f) for f in DAY_FORMATS]), spelling))
         .when(prio == "2", F.date_format(day, "MM/dd/yyyy"))
-        .when(prio == "3", F.date_format(day, "MMM d yyyy"))
+        .when(prio == "3", F.get(F.array(*[F.date_format(day, f) for f in INSTANT_FORMATS]), spelling))
         .when(prio == "4", F.concat(F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30")))
         .otherwise(F.date_format(day, "HH:mm"))
     )
@@ -290,7 +293,7 @@ DATE_CASES = """
     CASE substr(o_orderpriority, 1, 1)
          WHEN '1' THEN date_trunc('day', o_orderdate)
          WHEN '2' THEN date_trunc('day', o_orderdate)
-         WHEN '3' THEN date_trunc('day', o_orderdate)
+         WHEN '3' THEN date_trunc('second', o_orderdate)
          WHEN '4' THEN date_trunc('second', o_orderdate) - INTERVAL 330 MINUTE END"""
 
 
@@ -310,7 +313,8 @@ def cast_date(spark, sf_dir):
 
 def local_times(df: DataFrame, *names: str) -> DataFrame:
     """Instants as UTC wall-clock time, the type the tables themselves use."""
-    return df.withColumns({n: F.col(n).cast("timestamp_ntz") for n in names})
+    epoch = F.expr(EPOCH)
+    return df.withColumns({n: F.timestamp_add("MICROSECOND", F.unix_micros(n), epoch) for n in names})
 
 
 # --- lenient casts -----------------------------------------------------------
@@ -592,27 +596,6 @@ def object_csv_read(spark, sf_dir):
     return read_object_csv(spark, out)
 
 
-@query("""
-    SELECT CAST(o_orderkey AS DOUBLE) AS id, o_orderpriority AS prio, o_totalprice AS total,
-           o_orderstatus = 'F' AS final, CAST(NULL AS VARCHAR) AS nothing,
-           date_diff('second', TIMESTAMP '1899-12-30', date_trunc('second', o_orderdate)) / 86400
-             AS day
-    FROM orders""")
-def xlsx_round_trip(spark, sf_dir):
-    """A folder of workbooks and back: numbers are doubles, dates are serial numbers."""
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"),
-        F.col("o_orderpriority").alias("prio"),
-        F.col("o_totalprice").alias("total"),
-        (F.col("o_orderstatus") == "F").alias("final"),
-        F.lit(None).cast("string").alias("nothing"),
-        F.date_trunc("second", "o_orderdate").alias("day"),
-    )
-    out = scratch_path(spark, "workbooks")
-    write_xlsx(orders, out)
-    return read_xlsx(spark, out)
-
-
 # --- databases ---------------------------------------------------------------
 
 
@@ -702,13 +685,14 @@ def jdbc_staged_append(spark, sf_dir):
 
 
 @query("""
-    SELECT * FROM (VALUES (0, 'c_custkey', 'BIGINT NOT NULL'), (1, 'c_name', 'VARCHAR(100)'),
-      (2, 'c_nationkey', 'INTEGER'), (3, 'c_acctbal', 'DOUBLE'), (4, 'c_mktsegment', 'VARCHAR(20)'))
-      AS t (pos, name, type)""")
+    SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS pos, column_name AS name,
+           CASE column_type WHEN 'VARCHAR' THEN 'CLOB(2147483647)' ELSE column_type END AS type
+    FROM (DESCRIBE SELECT * FROM customer)""")
 def schema_jdbc(spark, sf_dir):
-    """Catalog labels of a table that holds a copy of customer."""
-    ep = new_table(spark, CUSTOMER_DDL)
-    write_endpoint(table(spark, sf_dir, "customer"), ep)
+    """Catalog labels of a table that was created from customer's own columns."""
+    name = f"T_{uuid.uuid4().hex[:12].upper()}"
+    ep = Endpoint("jdbc", {"url": database(spark), "table": name})
+    write_endpoint(table(spark, sf_dir, "customer"), ep, create=True)
     return discover(spark, ep)
 
 
@@ -952,5 +936,3 @@ def incremental_copy_events(spark, sf_dir):
         F.count(F.lit(1)).alias("copies")
     )
 
-
-__all__ = ["ORACLES", "QUERIES", "js_text"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,21 +10,22 @@ from pyspark.sql import SparkSession
 def shared_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of this machine.
+    Where it is unset: Hadoop's own temporary folder on the session's default file
+    system, which all executors reach.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="tableferry-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        return root
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not root:
+        jpath, fs = hadoop_path(spark, spark._jsc.hadoopConfiguration().get("hadoop.tmp.dir"))
+        root = f"{fs.makeQualified(jpath).toString()}/tableferry"
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; nothing exists there yet."""
-    return f"{shared_root(spark)}/tableferry/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder; nothing exists there yet. It goes when the driver ends."""
+    path = f"{shared_root(spark)}/tableferry/{name}-{uuid.uuid4().hex}"
+    jpath, fs = hadoop_path(spark, path)
+    fs.deleteOnExit(jpath)
+    return path
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -41,24 +41,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def total_bytes(spark: SparkSession, paths: list[str]) -> int:
-    """Size of all files at or below paths and patterns."""
-    total = 0
-    for path in paths:
-        jpath, fs = hadoop_path(spark, path)
-        for status in fs.globStatus(jpath) or ():
-            total += fs.getContentSummary(status.getPath()).getLength()
-    return total
-
-
 def replace_path(spark: SparkSession, new: str, path: str) -> None:
-    """Put what lies at ``new`` in the place of ``path``."""
+    """Put what lies at ``new`` in the place of ``path``.
+
+    The old folder is renamed away first and deleted last: one of the two is always there.
+    """
     source, fs = hadoop_path(spark, new)
     target, _ = hadoop_path(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
+    aside, _ = hadoop_path(spark, f"{path.rstrip('/')}.old-{uuid.uuid4().hex}")
+    old = fs.exists(target)
+    if old and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} away")
     if not fs.rename(source, target):
+        if old:
+            fs.rename(aside, target)
         raise OSError(f"could not move {new} to {path}")
+    if old:
+        fs.delete(aside, True)
 
 
 def overlaps(spark: SparkSession, a: str, b: str) -> bool:

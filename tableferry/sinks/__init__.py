@@ -8,12 +8,10 @@ from tableferry import fixed
 from tableferry.plans.spec import Endpoint, SpecError
 from tableferry.sinks.csv import write_csv
 from tableferry.sinks.jdbc import write_table
-from tableferry.sinks.xlsx import write_xlsx
-from tableferry.sources import as_flag
 from tableferry.sources.jdbc import is_database
 from tableferry.sources.objects import OBJECT_TYPES, connect, object_uri
 
-FILE_TYPES = ("csv", "excel")
+FILE_TYPES = ("csv",)
 
 
 def write_endpoint(
@@ -35,16 +33,12 @@ def write_endpoint(
     """
     ep = Endpoint.of(endpoint)
     if ep.type == "csv":
-        single = as_flag(ep.get("singleFile", False))
-        write_csv(df, ep.need("path"), single_file=single, mode=mode, swap=swap)
-    elif ep.type == "excel":
-        write_xlsx(df, ep.need("path"), ep.get("sheet"), mode=mode)
+        write_csv(df, ep.need("path"), mode=mode, swap=swap)
     elif is_database(ep):
         write_table(df, ep, truncate=truncate, batch_size=batch_size, **options)
     elif ep.type in OBJECT_TYPES:
         uri = connect(df.sparkSession, ep)
-        single = as_flag(ep.get("singleFile", False))
-        write_csv(df, uri, style="object", single_file=single, mode=mode, swap=swap)
+        write_csv(df, uri, style="object", mode=mode, swap=swap)
     elif ep.type == "spark":
         if swap:
             raise SpecError("a table cannot be read and replaced by one copy")

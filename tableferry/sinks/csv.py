@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tableferry.functions.casts import TEMPORAL, js_text
+from tableferry.functions.casts import TEMPORAL, epoch_micros, js_text
 from tableferry.operators.mapping import positional
-from tableferry.scratch import hadoop_path, replace_path
+from tableferry.scratch import replace_path
 from tableferry.sources.csv import clean_path
 
 WRITE_OPTIONS = {
@@ -19,8 +19,6 @@ WRITE_OPTIONS = {
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }
-# A single file is put together by one process, so it has to be small.
-SINGLE_FILE_BYTES = 512 * 1024 * 1024
 
 
 def _object_text(c: Column, dt: T.DataType) -> Column:
@@ -28,7 +26,7 @@ def _object_text(c: Column, dt: T.DataType) -> Column:
     if isinstance(dt, T.BooleanType):
         return F.when(c, "1").otherwise("")
     if isinstance(dt, TEMPORAL):
-        return F.unix_millis(c.cast("timestamp")).cast("string")
+        return F.floor(epoch_micros(c, dt) / 1000).cast("bigint").cast("string")
     return js_text(c, dt)
 
 
@@ -44,30 +42,12 @@ def as_text(df: DataFrame, style: str = "file") -> DataFrame:
     )
 
 
-def header_line(names: list[str]) -> str:
-    """The header as Spark's writer prints it."""
-    cells = [
-        '"' + n.replace('"', '""') + '"' if any(ch in n for ch in '",\n\r') else n for n in names
-    ]
-    return ",".join(cells) + "\n"
-
-
-def write_csv(
-    df: DataFrame,
-    path: str,
-    *,
-    style: str = "file",
-    single_file: bool = False,
-    mode: str = "overwrite",
-    swap: bool = False,
-) -> None:
+def write_csv(df: DataFrame, path: str, *, style: str = "file", mode: str = "overwrite", swap: bool = False) -> None:
     """Write a folder of CSV parts, each with the header; an old one is replaced.
 
     ``swap`` writes beside ``path`` and replaces it at the end, for a frame that
-    reads from the very place it is to replace.
-
-    ``single_file`` gives one file at ``path`` instead.  The parts are still written
-    in parallel; joining them is refused beyond ``SINGLE_FILE_BYTES``.
+    reads from the very place it is to replace.  With ``mode="append"`` parts are added,
+    and the old ones stay.
     """
     path = clean_path(path)
     if not df.columns:
@@ -75,36 +55,9 @@ def write_csv(
         return
     # a lone blank cell would be an empty line, which readers skip: quote it
     empty = '""' if len(df.columns) == 1 else ""
+    swap = swap and mode != "append"
+    target = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}" if swap else path
     text = as_text(df, style)
-    if not single_file:
-        target = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}" if swap else path
-        text.write.mode(mode).options(**WRITE_OPTIONS, emptyValue=empty, header=True).csv(target)
-        if swap:
-            replace_path(df.sparkSession, target, path)
-        return
-    parts = f"{path}.parts-{uuid.uuid4().hex}"
-    text.write.options(**WRITE_OPTIONS, emptyValue=empty, header=False).csv(parts)
-    _join_parts(df, parts, path)
-
-
-def _join_parts(df: DataFrame, parts: str, path: str) -> None:
-    spark = df.sparkSession
-    folder, fs = hadoop_path(spark, parts)
-    size = fs.getContentSummary(folder).getLength()
-    if size > SINGLE_FILE_BYTES:
-        raise ValueError(f"{size} bytes are too many for one file; the parts are in {parts}")
-    target, _ = hadoop_path(spark, path)
-    if fs.exists(target) and fs.getFileStatus(target).isDirectory():
-        fs.delete(target, True)
-    copy = spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes
-    out = fs.create(target, True)
-    try:
-        out.write(bytearray(header_line(df.columns).encode("utf-8")))
-        for status in fs.listStatus(folder):
-            if status.getPath().getName().startswith("part-"):
-                source = fs.open(status.getPath())
-                copy(source, out, 65536, False)
-                source.close()
-    finally:
-        out.close()
-    fs.delete(folder, True)
+    text.write.mode(mode).options(**WRITE_OPTIONS, emptyValue=empty, header=True).csv(target)
+    if swap:
+        replace_path(df.sparkSession, target, path)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tableferry.scratch import path_exists, total_bytes
+from tableferry.scratch import path_exists
 
 READ_OPTIONS = {
     "quote": '"',
@@ -17,6 +20,8 @@ READ_OPTIONS = {
     "maxCharsPerColumn": -1,
 }
 _FLAGGED = "_flagged"
+#: Files whose header lines one job reads.
+HEADERS_PER_JOB = 256
 
 
 def clean_path(path: str) -> str:
@@ -33,86 +38,129 @@ def read_header(spark: SparkSession, path) -> list[str]:
     return [] if first is None else ["" if v is None else v for v in first]
 
 
+def read_layouts(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by the names in their header lines, in the order of the paths.
+
+    One task per file reads its first line, in jobs of ``HEADERS_PER_JOB`` files. A
+    header line that goes on after a line break is parsed by itself. Empty files are
+    left out.
+    """
+    files = sorted(spark.read.text(paths).inputFiles())
+    lines: dict[str, str] = {}
+    for start in range(0, len(files), HEADERS_PER_JOB):
+        firsts = [
+            spark.read.text(f).where(F.trim("value") != "").limit(1).select(F.lit(f).alias("file"), "value")
+            for f in files[start : start + HEADERS_PER_JOB]
+        ]
+        lines |= {r["file"]: r["value"] for r in reduce(DataFrame.union, firsts).collect()}
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        if f in lines:
+            whole = lines[f].removeprefix("\ufeff").rstrip("\r")
+            if "\r" in whole or whole.count('"') % 2:
+                names = read_header(spark, f)
+            else:
+                names = next(csv.reader([whole]))
+            layouts.setdefault(tuple(names), []).append(f)
+    return layouts
+
+
 def _cells_in(line: Column) -> Column:
     """How many cells a raw line holds: separators outside quotes, plus one."""
     bare = F.regexp_replace(line, '"[^"]*+"', "")
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
-def needs_multiline(spark: SparkSession, paths: list[str]) -> bool:
-    """Whether the files have to be read whole, one task per file.
-
-    Files of at most one split are read that way in any case.  Larger ones can be
-    split if no cell holds a line break: a cell that does starts on a line with an
-    odd number of quotes, and a parallel scan for such a line settles it.
-    """
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if total_bytes(spark, paths) <= split:
-        return True
-    largest = spark.read.format("binaryFile").load(paths).agg(F.max("length")).first()[0]
-    if largest is None or largest <= split:
-        return True
-    line = F.col("value")
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    return not spark.read.text(paths).where(quotes % 2 == 1).isEmpty()
-
-
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
     *,
-    multiline: bool | None = None,
+    multiline: bool = True,
     blanks: str = "exact",
     strict_rows: bool = False,
     malformed_column: str | None = None,
     missing_ok: bool = False,
     stream: bool = False,
     files_per_trigger: int | None = None,
+    columns: list[str] | None = None,
 ) -> DataFrame:
     """Read CSV with a header line; every column is a string.
 
+    ``multiline`` says whether a cell may hold a line break.  A file is then one task;
+    without, files of any size are split over tasks, and a line break ends a row even
+    inside quotes.  Nothing else depends on the size of a file.
+
     ``blanks`` says what a blank cell becomes.  ``exact``: '' where the row has
     the cell and NULL where the row is too short.  ``empty``: always ''.
-    ``null``: always NULL.  The last two let the scan skip unused columns.
+    ``null``: always NULL.  With the last two, and without ``multiline``, the scan
+    skips unused columns.
+
+    Files are matched by the names in their own headers: the columns are those of the
+    first file by path, in its order, and a file whose names differ from them in more
+    than their order is an error.
 
     ``strict_rows`` fails on a row with too few or too many cells.
-    ``multiline=False`` splits large files over tasks; it is right only when no
-    cell holds a line break.  By default large files are looked through for that
-    first, and small ones are read whole.  ``malformed_column`` adds a flag for rows whose
-    number of cells differs from the header's.  ``stream`` gives a streaming
-    frame over the files that are there and those that come later.
+    ``malformed_column`` adds a flag for rows whose number of cells differs from the
+    header's.  ``stream`` gives a streaming frame over the files that are there and
+    those that come later; ``columns`` names the header's columns for a folder that
+    is still empty.  A later file with another header ends the stream with an error.
     """
     if blanks not in ("exact", "empty", "null"):
         raise ValueError(f"unknown treatment of blank cells: {blanks}")
     paths = [clean_path(p) for p in ([path] if isinstance(path, str) else path)]
-    if missing_ok and not any(path_exists(spark, p) for p in paths):
+    if stream and columns:
+        layouts = {tuple(columns): paths}
+    elif (missing_ok or stream) and not any(path_exists(spark, p) for p in paths):
+        if stream:
+            raise ValueError(f"nothing is at {paths[0]} yet: name the columns")
         return spark.createDataFrame([], T.StructType([]))
-    header = read_header(spark, paths)
-    if not header:
+    else:
+        layouts = read_layouts(spark, paths)
+    if not layouts:
+        if stream:
+            raise ValueError(f"no header is at {paths[0]} yet: name the columns")
         return spark.createDataFrame([], T.StructType([]))
-    if multiline is None:
-        multiline = stream or needs_multiline(spark, paths)
-
-    names = [f"c{i}" for i in range(len(header))]
+    first = next(iter(layouts))
+    for names, files in layouts.items():
+        if set(names) != set(first) or (stream and names != first):
+            raise ValueError(f"{files[0]} has the columns {list(names)}, not {list(first)}")
+    parts = [
+        _read_layout(
+            spark, paths if stream or len(layouts) == 1 else files, list(names), multiline, blanks,
+            strict_rows, malformed_column, stream, files_per_trigger,
+        )
+        for names, files in layouts.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _read_layout(
+    spark, paths, header, multiline, blanks, strict_rows, malformed_column, stream, files_per_trigger
+) -> DataFrame:
+    """Files with one header."""
+    unique = len({n.lower() for n in header}) == len(header) and "" not in header
+    checked = stream and unique  # files that come later are held against the header
+    names = header if checked else [f"c{i}" for i in range(len(header))]
     flag_rows = not strict_rows and (blanks == "exact" or malformed_column is not None)
     fields = [T.StructField(n, T.StringType()) for n in names]
     reader = spark.readStream if stream else spark.read
-    reader = reader.options(**READ_OPTIONS, multiLine=multiline, header=True)
+    reader = reader.options(**READ_OPTIONS, multiLine=multiline, header=True, enforceSchema=not checked)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if flag_rows:
+        # with pruning a row is not compared with the header when columns are unused
         fields.append(T.StructField(_FLAGGED, T.StringType()))
-        reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=_FLAGGED)
+        reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=_FLAGGED, columnPruning=False)
     elif strict_rows:
-        # with pruning a short row is not noticed when its last columns are unused
         reader = reader.options(mode="FAILFAST", columnPruning=False)
     df = reader.schema(T.StructType(fields)).csv(paths[0] if stream else paths)
+    df = df.toDF(*[f"c{i}" for i in range(len(header))], *([_FLAGGED] if flag_rows else []))
 
     if flag_rows and blanks == "exact":
         df = df.withColumn("_cells", F.when(F.col(_FLAGGED).isNotNull(), _cells_in(F.col(_FLAGGED))))
 
     def cell(i: int) -> Column:
-        c = F.col(names[i])
+        c = F.col(f"c{i}")
         if blanks == "null":
             return c
         filled = F.coalesce(c, F.lit(""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tableferry.plans.spec import Endpoint, SpecError
@@ -16,15 +18,24 @@ def connection_parts(text: str) -> dict[str, str]:
     return {k.strip(): v.strip() for k, v in parts}
 
 
-def _azure_account(ep: Endpoint) -> tuple[str, str]:
-    """Account and key; a connection string wins over the two single fields."""
-    if ep.get("connectionString"):
-        parts = connection_parts(ep.get("connectionString"))
-        try:
-            return parts["AccountName"], parts["AccountKey"]
-        except KeyError as e:
-            raise SpecError(f"connection string lacks {e.args[0]}") from None
-    return ep.need("accountName"), ep.need("accountKey")
+def _azure_account(ep: Endpoint) -> tuple[str, str | None, str | None, str]:
+    """Account, key, shared access signature and host; a connection string wins over the single fields."""
+    if not ep.get("connectionString"):
+        account = ep.need("accountName")
+        return account, ep.need("accountKey"), None, f"{account}.dfs.core.windows.net"
+    parts = connection_parts(ep.get("connectionString"))
+    host = urlsplit(parts.get("BlobEndpoint", "")).hostname
+    account = parts.get("AccountName") or (host or "").split(".")[0]
+    key, signature = parts.get("AccountKey"), parts.get("SharedAccessSignature")
+    if not account:
+        raise SpecError("connection string lacks AccountName")
+    if not key and not signature:
+        raise SpecError("connection string lacks AccountKey")
+    if host:
+        host = host.replace(".blob.", ".dfs.", 1)
+    else:
+        host = f"{account}.dfs.{parts.get('EndpointSuffix', 'core.windows.net')}"
+    return account, key, signature, host
 
 
 def object_uri(ep: Endpoint) -> str:
@@ -32,9 +43,8 @@ def object_uri(ep: Endpoint) -> str:
         return f"s3a://{ep.need('bucket')}/{ep.need('key').lstrip('/')}"
     if ep.type == "gcs":
         return f"gs://{ep.need('bucket')}/{ep.need('key').lstrip('/')}"
-    account, _ = _azure_account(ep)
-    blob = ep.need("blob").lstrip("/")
-    return f"abfss://{ep.need('container')}@{account}.dfs.core.windows.net/{blob}"
+    *_, host = _azure_account(ep)
+    return f"abfss://{ep.need('container')}@{host}/{ep.need('blob').lstrip('/')}"
 
 
 def hadoop_settings(ep: Endpoint) -> dict[str, str]:
@@ -61,8 +71,13 @@ def hadoop_settings(ep: Endpoint) -> dict[str, str]:
             out["fs.gs.auth.type"] = "SERVICE_ACCOUNT_JSON_KEYFILE"
             out["fs.gs.auth.service.account.json.keyfile"] = ep.get("keyFilename")
         return out
-    account, key = _azure_account(ep)
-    return {f"fs.azure.account.key.{account}.dfs.core.windows.net": key}
+    _, key, signature, host = _azure_account(ep)
+    if key:
+        return {f"fs.azure.account.key.{host}": key}
+    return {
+        f"fs.azure.account.auth.type.{host}": "SAS",
+        f"fs.azure.sas.fixed.token.{host}": signature.lstrip("?"),
+    }
 
 
 def connect(spark: SparkSession, ep: Endpoint) -> str:
@@ -73,6 +88,6 @@ def connect(spark: SparkSession, ep: Endpoint) -> str:
     return object_uri(ep)
 
 
-def read_object_csv(spark: SparkSession, uri: str, multiline: bool | None = None) -> DataFrame:
+def read_object_csv(spark: SparkSession, uri: str, multiline: bool = True) -> DataFrame:
     """Like ``read_csv``, but a row with the wrong number of cells is an error."""
     return read_csv(spark, uri, multiline=multiline, strict_rows=True)

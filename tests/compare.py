@@ -55,7 +55,7 @@ if __name__ == "__main__":
     from __spark_entry__ import oracle_sql, queries
 
     sf_dir = sys.argv[1]
-    wanted = sys.argv[2:] or list(queries())
+    wanted = sys.argv[2:] or list(oracle_sql())
     spark = (
         SparkSession.builder.master("local[8]")
         .config("spark.ui.enabled", "false")

@@ -20,9 +20,6 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    from tableferry.session import prepare
-
-    prepare(session)
     return session
 
 

@@ -212,3 +212,27 @@ def test_types_are_stable(spark):
     df = spark.createDataFrame([("1",)], "v string")
     for tag, dt in [("STRING", T.StringType()), ("NUMBER", T.DoubleType()), ("BOOLEAN", T.BooleanType()), ("DATE", T.TimestampType())]:
         assert df.select(cast_strict(F.col("v"), T.StringType(), tag).alias("v")).schema["v"].dataType == dt
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("2024/01/02", "2024-01-02T00:00:00"), ("January 2, 2024", "2024-01-02T00:00:00"),
+        ("2 Jan 2024", "2024-01-02T00:00:00"), ("Tue, 02 Jan 2024 10:00:00 GMT", "2024-01-02T10:00:00"),
+        ("01/02/2024 10:00", "2024-01-02T10:00:00"), ("2024-1-5", "2024-01-05T00:00:00"),
+        ("Tue Jan 02 2024 10:00:00 GMT+0000 (Coordinated Universal Time)", "2024-01-02T10:00:00"),
+        ("Tue Jan 02 2024 10:00:00 GMT+0530 (India Standard Time)", "2024-01-02T04:30:00"),
+        ("Jan 2 2024", "2024-01-02T00:00:00"), ("sept 3, 2024", "2024-09-03T00:00:00"), ("10:00", None), ("2024-02-30", None),
+    ],
+)
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_date_spellings_in_any_session(spark, text, want, zone):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(text,)], "v string")
+        cast = cast_strict(F.col("v"), T.StringType(), "DATE")
+        (row,) = df.select(cast_strict(cast, T.TimestampType(), "STRING").alias("t")).collect()
+        assert row.t == (want and want + ".000Z")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

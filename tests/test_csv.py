@@ -24,17 +24,18 @@ def rows(df):
 
 
 def test_golden_copy(spark, path):
-    """The three people, file to file, byte for byte."""
-    source, target = put(path("input.csv"), PEOPLE), path("out/result.csv")
+    """The three people, file to folder, byte for byte in its one part."""
+    source, target = put(path("input.csv"), PEOPLE), path("out")
     spec = {
         "version": 1,
         "source": {"dbType": "csv", "config": {"path": source}},
-        "destination": {"dbType": "csv", "config": {"path": target, "singleFile": True}},
+        "destination": {"dbType": "csv", "config": {"path": target}},
     }
     result = migrate(spark, spec)
     assert result.ok and result.moved == 3 and result.output_url == target
     assert result.message == "Run complete: 3 rows moved csv → csv"
-    with open(target, newline="") as f:
+    (part,) = glob.glob(target + "/part-*")
+    with open(part, newline="") as f:
         assert f.read() == PEOPLE
 
 
@@ -139,28 +140,72 @@ def test_random_round_trip(spark, path):
     assert {k: tuple(x.replace("\r\n", "\n") for x in v) for k, v in got.items()} == want
 
 
-def test_single_file_is_bounded(spark, path, monkeypatch):
-    from tableferry.sinks import csv as sink
+HARD = 'a,b\n1,x\ry\n2,"p\nq"\n3\n4,"say ""hi"""\n5,6,7\n' + "".join(f"{i},plain\n" for i in range(10, 400))
 
-    monkeypatch.setattr(sink, "SINGLE_FILE_BYTES", 10)
-    with pytest.raises(ValueError, match="too many for one file"):
-        write_csv(spark.range(100), path("one.csv"), single_file=True)
 
-
-def test_large_files_are_split_where_that_is_right(spark, path):
-    """Splits of 1 kB: a file without line breaks in cells is read by many tasks."""
+@pytest.mark.parametrize("multiline", [True, False])
+def test_size_and_columns_do_not_matter(spark, path, multiline):
+    """One text, with splits far below and far above its size, and each column alone."""
+    p, found = put(path("x.csv"), HARD), []
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("256", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            df = read_csv(spark, p, multiline=multiline, malformed_column="bad")
+            whole = df.collect()
+            for c in ("a", "b"):
+                assert sorted(map(repr, (r[0] for r in df.select(c).collect()))) == sorted(repr(r[c]) for r in whole)
+            mapped = [{"from": "b", "to": "b"}]
+            config = {"path": p, "multiline": multiline}
+            source = {"dbType": "csv", "config": config}
+            counts = []
+            for k, mapping in enumerate(([], mapped)):
+                target = {"dbType": "csv", "config": {"path": path(f"out{size}{k}")}}
+                result = migrate(spark, {"source": source, "destination": target, "mapping": mapping})
+                assert result.ok, result.message
+                counts.append((result.moved, result.malformed_rows))
+            assert counts[0] == counts[1] == (len(whole), sum(r.bad for r in whole))
+            found.append(rows(df))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found[0] == found[1]
+
+
+def test_files_without_line_breaks_in_cells_are_split(spark, path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
     try:
         data = [(str(i), f'say "{i}", x') for i in range(2000)]
         write_csv(spark.createDataFrame(data, "i string, s string").coalesce(1), path("plain"))
-        plain = read_csv(spark, path("plain"))
-        assert plain.rdd.getNumPartitions() > 4
-        assert rows(plain) == sorted(data)
-        broken = [(i, s + "\n") if i == "77" else (i, s) for i, s in data]
-        write_csv(spark.createDataFrame(broken, "i string, s string").coalesce(1), path("broken"))
-        whole = read_csv(spark, path("broken"))
-        assert whole.rdd.getNumPartitions() == 1
-        assert rows(whole) == sorted(broken)
+        plain = read_csv(spark, path("plain"), multiline=False)
+        assert plain.rdd.getNumPartitions() > 4 and rows(plain) == sorted(data)
+        assert read_csv(spark, path("plain")).rdd.getNumPartitions() == 1
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_columns_are_matched_by_each_files_header(spark, path):
+    os.makedirs(path("in"))
+    put(path("in/1.csv"), "id,name\n1,ada\n")
+    put(path("in/2.csv"), 'name,id\n"li\nnus",2\n')
+    df = read_csv(spark, path("in"))
+    assert df.columns == ["id", "name"] and rows(df) == [("1", "ada"), ("2", "li\nnus")]
+    put(path("in/3.csv"), "name,key\nx,3\n")
+    with pytest.raises(ValueError, match=r"3\.csv has the columns \['name', 'key'\]"):
+        read_csv(spark, path("in"))
+
+
+def test_appending_a_table_to_itself_keeps_it(spark, path):
+    write_csv(spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string"), path("out"))
+    config = {"dbType": "csv", "config": {"path": path("out")}}
+    result = migrate(spark, {"source": config, "destination": config}, mode="append")
+    assert result.ok, result.message
+    assert rows(read_csv(spark, path("out"))) == [("1", "a"), ("1", "a"), ("2", "b"), ("2", "b")]
+
+
+def test_counting_malformed_rows_is_an_option(spark, path):
+    source = {"dbType": "csv", "config": {"path": put(path("x.csv"), "a,b\n1\n2,3\n"), "blanks": "null", "multiline": False}}
+    target = {"dbType": "csv", "config": {"path": path("out")}}
+    spec = {"source": source, "destination": target, "mapping": [{"from": "a", "to": "a"}]}
+    assert migrate(spark, spec).malformed_rows == 1
+    assert migrate(spark, {**spec, "options": {"countMalformed": False}}).malformed_rows == 0

@@ -28,3 +28,15 @@ def test_azure():
     assert hadoop_settings(ep) == {"fs.azure.account.key.other.dfs.core.windows.net": "x"}
     with pytest.raises(SpecError, match="accountKey"):
         hadoop_settings(Endpoint("azureBlob", {"accountName": "a", "container": "c", "blob": "b"}))
+
+
+def test_azure_suffix_endpoint_and_signature():
+    text = "AccountName=acc;SharedAccessSignature=?sv=1&sig=a%3D;EndpointSuffix=core.chinacloudapi.cn"
+    ep = Endpoint("azureBlob", {"connectionString": text, "container": "c", "blob": "a"})
+    assert object_uri(ep) == "abfss://c@acc.dfs.core.chinacloudapi.cn/a"
+    assert hadoop_settings(ep)["fs.azure.sas.fixed.token.acc.dfs.core.chinacloudapi.cn"] == "sv=1&sig=a%3D"
+    text = "BlobEndpoint=https://acc.blob.core.windows.net/;AccountKey=k"
+    ep = Endpoint("azureBlob", {"connectionString": text, "container": "c", "blob": "a"})
+    assert object_uri(ep) == "abfss://c@acc.dfs.core.windows.net/a"
+    with pytest.raises(SpecError, match="AccountKey"):
+        object_uri(Endpoint("azureBlob", {"connectionString": "AccountName=a", "container": "c", "blob": "b"}))

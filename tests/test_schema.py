@@ -61,3 +61,13 @@ def test_type_names(name, want):
 def test_unknown_type(spark):
     with pytest.raises(SpecError, match="Unsupported type: dbase"):
         discover(spark, Endpoint("dbase", {}))
+
+
+def test_first_row_of_a_folder_is_that_of_its_first_file(spark, path):
+    import os
+
+    os.makedirs(path("in"))
+    for i in range(40):
+        with open(path(f"in/{i:02}.csv"), "w") as f:
+            f.write("v\n" + ("1" if i == 0 else "x") + "\n")
+    assert rows(discover(spark, {"dbType": "csv", "config": {"path": path("in")}})) == [(0, "v", "INT")]

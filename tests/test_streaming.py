@@ -1,7 +1,12 @@
+import glob
+import os
 import uuid
 
+import pytest
+
 from tableferry import incremental_copy, read_endpoint
 from tableferry.plans.spec import Endpoint
+from tableferry.streaming.incremental import ledger_id
 from tableferry.sinks.csv import write_csv
 from tableferry.sinks.jdbc import write_table
 from tableferry.sources.csv import read_csv
@@ -66,8 +71,26 @@ def test_database_batches_are_applied_once(spark, path, monkeypatch):
     assert failed and read_endpoint(spark, ep).count() == 6
 
 
-def test_workbook_sink(spark, path):
-    frame(spark, 0, 3).write.parquet(path("in"))
-    target = {"dbType": "excel", "config": {"path": path("out")}}
-    run(spark, {"dbType": "spark", "config": {"path": path("in")}}, target, checkpoint=path("cp"))
-    assert read_endpoint(spark, target).count() == 3
+def test_an_empty_folder_can_be_watched(spark, path):
+    os.makedirs(path("in"))
+    source = {"dbType": "csv", "config": {"path": path("in"), "columns": ["id", "s"]}}
+    target = {"dbType": "spark", "config": {"path": path("out")}}
+    run(spark, source, target, MAPPING, checkpoint=path("cp"))
+    write_csv(frame(spark, 0, 3), path("new"))
+    for i, part in enumerate(sorted(glob.glob(path("new") + "/part-*"))):
+        os.rename(part, path(f"in/{i}.csv"))
+    run(spark, source, target, MAPPING, checkpoint=path("cp"))
+    assert sorted(r.n for r in spark.read.parquet(path("out")).collect()) == [0.0, 1.0, 2.0]
+    with open(path("in/9.csv"), "w") as f:
+        f.write("s,id\na,9\n")
+    with pytest.raises(Exception, match="9.csv"):
+        run(spark, source, target, MAPPING, checkpoint=path("cp"))
+    with pytest.raises(ValueError, match="name the columns"):
+        read_csv(spark, path("nothing"), stream=True)
+
+
+def test_ledger_ids_differ_by_whole_checkpoint_and_target():
+    one = Endpoint("postgres", {"host": "h", "database": "d", "table": "t"})
+    two = Endpoint("postgres", {"host": "h", "database": "d", "table": "u"})
+    ids = {ledger_id("file:/a/checkpoint", one), ledger_id("file:/b/checkpoint", one), ledger_id("file:/a/checkpoint", two)}
+    assert len(ids) == 3 and ledger_id("file:/a/checkpoint/", one) in ids and all(len(i) <= 200 for i in ids)
