@@ -121,17 +121,22 @@ class Parser:
         self.bits = np.log2([max(2, len(t)) for t in m.texts]) if m.texts else np.zeros(0)
 
     def _table(self, text: str) -> np.ndarray:
-        """Entry (state, class): the row after the step, doubled, plus 1 if a phrase ends."""
+        """Entry (state, class): the row after the step, doubled, plus 1 if a phrase begins.
+
+        The last state stands before a phrase: every letter begins one there, and a letter
+        that the labelled text lacks leads back to it.
+        """
         moves = suffix_automaton(self.classes[[ord(c) for c in text]].tolist())
-        start = np.zeros(self.width, dtype=np.int32)
+        start = np.full(self.width, len(moves), dtype=np.int32)
         for c, to in moves[0].items():
-            start[c] = to
-        table = np.tile(start * self.width * 2 + 1, (len(moves), 1)).astype(np.int32)
+            if c != self.other:
+                start[c] = to
+        table = np.tile(start * self.width * 2 + 1, (len(moves) + 1, 1)).astype(np.int32)
         for s, out in enumerate(moves):
             for c, to in out.items():
                 if c != self.other:
                     table[s, c] = to * self.width * 2
-            table[s, self.pad] = s * self.width * 2
+        table[:, self.pad] = np.arange(len(table)) * self.width * 2
         return table.ravel()
 
     def codes(self, text: str) -> np.ndarray:
@@ -154,8 +159,8 @@ class Parser:
         steps = np.ascontiguousarray(matrix.T).astype(np.int32)
         out = np.empty((len(codes), len(self.tables)))
         for k, table in enumerate(self.tables):
-            at = np.zeros(len(matrix), dtype=np.int32)
-            phrases = np.ones(len(matrix), dtype=np.int32)
+            at = np.full(len(matrix), len(table) // self.width - 1, dtype=np.int32) * (self.width * 2)
+            phrases = np.zeros(len(matrix), dtype=np.int32)
             for step in steps:
                 np.right_shift(at, 1, out=at)
                 at += step
