@@ -66,8 +66,8 @@ class BlobLedger:
     ``scan`` takes any table of versions: every row is one version of something at a
     path. Blobs are the SHA-256 of a text, so a text that was moved, copied or restored
     is never scanned twice. Each call appends one batch to the ledger; a batch is a
-    Parquet write that becomes visible as a whole. A batch that is written twice after a
-    failure does no harm, since findings of a pair are always the same.
+    Parquet write that becomes visible as a whole. A batch that is written again, after a
+    failure, replaces itself.
     """
 
     def __init__(self, spark: SparkSession, path: str, rules=RULES, rule_version: int = RULE_VERSION):
@@ -75,14 +75,15 @@ class BlobLedger:
 
     SCHEMA = (
         "blob_id string, rule_version int, "
-        "found array<struct<start: int, `order`: int, `end`: int, kind: string>>"
+        "found array<struct<start: int, `order`: int, `end`: int, kind: string>>, batch string"
     )
 
-    def entries(self) -> DataFrame:
-        """Scanned pairs of this rule version, each once."""
+    def entries(self, besides: str = "") -> DataFrame:
+        """Scanned pairs of this rule version, each once, but for those of one batch."""
         if not path_exists(self.spark, f"{self.path}/batch=*"):
             return self.spark.createDataFrame([], self.SCHEMA)
-        rows = self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/batch=*")
+        reader = self.spark.read.schema(self.SCHEMA).option("basePath", self.path)
+        rows = reader.parquet(f"{self.path}/batch=*").where(F.col("batch") != besides)
         return rows.where(F.col("rule_version") == self.rule_version).dropDuplicates(["blob_id"])
 
     def scan(self, versions: DataFrame, text: str, batch: str) -> DataFrame:
@@ -95,7 +96,7 @@ class BlobLedger:
         addressed = versions.drop("blob_id", "found").withColumn(
             "blob_id", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
         )
-        known = self.entries().select("blob_id")
+        known = self.entries(besides=batch).select("blob_id")
         blobs = (
             addressed.select("blob_id", F.coalesce(F.col(text), F.lit("")).alias("_text"))
             .join(known, "blob_id", "left_anti")
