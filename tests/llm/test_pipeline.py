@@ -1,0 +1,33 @@
+import corpus_pipeline
+from helpers import SF, documents
+from test_decontaminate import brute as leaked
+from test_linededup import brute as without_repeats
+from test_packing import check
+from test_simhash import brute_links, brute_print
+from helpers import union_find
+
+
+def test_every_stage_against_brute_force(spark, path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "line_dedup", "simhash", "decontamination", "packing"]
+    texts, seen = documents(spark), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(path(name))
+        docs = spark.read.parquet(path(name))
+        if name != "packing":
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            seen[name] = {r.doc_id: r.text for r in docs.collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    gone = set(texts) - set(seen["toxicity"])
+    assert gone and sum(labels.get(d, 1) for d in gone) >= 0.5 * len(gone)
+    assert seen["toxicity"] == {d: t for d, t in texts.items() if d not in gone}
+    assert seen["line_dedup"] == without_repeats(seen["toxicity"])
+    prints = {d: brute_print(t) for d, t in seen["line_dedup"].items()}
+    root, least = union_find(set(prints.values()), brute_links(set(prints.values()))), {}
+    for d, f in prints.items():
+        least[root[f]] = min(d, least.get(root[f], d))
+    assert set(seen["simhash"]) == set(least.values())
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    assert set(seen["decontamination"]) == set(seen["simhash"]) - {d for d, _ in leaked(seen["simhash"], items)}
+    check(docs.collect(), seen["decontamination"])

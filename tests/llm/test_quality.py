@@ -1,0 +1,67 @@
+import re
+from collections import Counter
+
+import numpy as np
+from helpers import SF, awkward, documents, empty
+
+from tableferry.llm import quality
+from tableferry.llm.queries import QUERIES
+
+
+def brute(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    count, marked = Counter(windows), set()
+    for i, x in enumerate(windows):
+        if count[x] > 1:
+            marked.update(range(i, i + 5))
+    seen, repeated = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            repeated += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), repeated, len(marked)
+
+
+def test_whole_table(spark):
+    texts = documents(spark)
+    rows = QUERIES["op10_quality_rules"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r.base_failed and r.kept)
+
+
+def test_held_out_labels(spark):
+    sf = SF.replace("0.001", "0.01")
+    rated = QUERIES["op10_quality_rules"](spark, sf).where("not base_failed")
+    both = rated.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where(quality.held_out()).collect()
+    assert np.mean([r.kept == (r.quality == 1) for r in both]) > 0.95
+
+
+def test_repeats_and_hard_texts():
+    for text in ("a a a a a a", "a b c d e " * 3, "x\nx\n \n \nx", "é é #*$%&|<>", "\x1c a\x85b", "", "a b c d"):
+        assert quality.statistics(text)[:5] == brute(text)
+
+
+def test_rules_are_found_and_pruned():
+    rng = np.random.default_rng(0)
+    x = rng.random((600, len(quality.FEATURES)))
+    bad = (x[:, 2] > 0.7) & (x[:, 5] <= 0.5)
+    rules = quality.learn(x, bad)
+    hit = np.zeros(len(x), dtype=bool)
+    for rule in rules:
+        hit |= rule.covers(x)
+    assert rules and (hit == bad).mean() > 0.97 and "symbols_per_word >" in str(rules[0])
+    assert quality.learn(x[:0], bad[:0]) == [] == quality.learn(x, np.ones(600, dtype=bool))
+
+
+def test_awkward_rows(spark):
+    df = awkward(spark)
+    rule = quality.Rule((quality.Literal("words", True, 1e4),))
+    rows = quality.apply_rules(df, [rule]).collect()
+    assert len(rows) == df.count()
+    assert {r.doc_id: r.kept for r in rows if r.doc_id in (1, 2, 6, 7)} == {1: False, 2: False, 6: True, 7: False}
+    assert quality.apply_rules(empty(spark), []).count() == 0

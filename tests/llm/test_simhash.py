@@ -1,0 +1,83 @@
+import random
+import re
+
+import numpy as np
+import xxhash
+from helpers import SF, awkward, documents, empty, union_find
+
+from tableferry.llm import simhash
+from tableferry.llm.queries import QUERIES
+
+
+def brute_print(text, n=3):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_links(prints):
+    p = sorted(prints)
+    return [(a, b) for i, a in enumerate(p) for b in p[i + 1 :] if (a ^ b).bit_count() <= 2]
+
+
+def test_golay_words_within_two_bits_share_a_key():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 1 << 23, 20_000)
+    flips = np.array([(1 << i) | (1 << j) for i in range(23) for j in range(23)])
+    y = x ^ rng.choice(flips, len(x))
+    keys = []
+    for words in (x, y):
+        rows, codes = simhash.golay_keys(words)
+        assert np.bincount(rows).max() == 6 and set(np.bincount(rows)) == {1, 6}
+        keys.append({(int(r), int(c)) for r, c in zip(rows, codes)})
+    assert {r for r, _ in keys[0] & keys[1]} == set(range(len(x)))
+
+
+def test_whole_table(spark):
+    texts = documents(spark)
+    prints = {d: brute_print(t) for d, t in texts.items()}
+    root = union_find(set(prints.values()), brute_links(set(prints.values())))
+    least = {}
+    for d, f in prints.items():
+        least[root[f]] = min(d, least.get(root[f], d))
+    rows = QUERIES["op9_simhash"](spark, SF).collect()
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in rows}
+    assert len(rows) == len(texts) and got == {d: (f"{f:016x}", least[root[f]]) for d, f in prints.items()}
+
+
+def test_links_of_small_and_large_groups(spark, monkeypatch):
+    rng = random.Random(3)
+    prints = {rng.getrandbits(64) for _ in range(200)}
+    for base in list(prints)[:20]:
+        for _ in range(30):
+            x = base
+            for _ in range(rng.randrange(4)):
+                x ^= 1 << rng.randrange(64)
+            prints.add(x)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(p),) for p in prints], "fingerprint long")
+    want = union_find({signed(p) for p in prints}, [(signed(a), signed(b)) for a, b in brute_links(prints)])
+    for paired in (2, 10_000):
+        monkeypatch.setattr(simhash, "PAIRED", paired)
+        edges = [(r.a, r.b) for r in simhash.links(df).collect()]
+        assert union_find({signed(p) for p in prints}, edges) == want
+
+
+def test_awkward_rows(spark):
+    df = awkward(spark)
+    rows = simhash.near_duplicates(df).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == df.count() and by[2].fingerprint == by[3].fingerprint == 0
+    assert by[1].component_id == by[2].component_id == by[3].component_id == 1
+    assert by[8].component_id == 7 and by[7].fingerprint == by[8].fingerprint
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_one_of_each(spark):
+    df = awkward(spark)
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 4, 5, 6, 7, 9] and ids.count(None) == 1
+    assert simhash.one_of_each(empty(spark)).count() == 0
