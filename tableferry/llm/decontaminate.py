@@ -30,20 +30,17 @@ def _places(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
-def _windows(t: str, masks: tuple[str, ...]) -> Column:
-    """(hash, place) of every window under every mask."""
+def _windows(df: DataFrame, name: str, masks: tuple[str, ...]) -> DataFrame:
+    """``name``, ``at`` and ``hash`` of every window of the tokens ``t`` under every mask."""
 
     def under(mask: str) -> Column:
-        last = F.size(t) - len(mask)
+        last = F.size("t") - len(mask)
         places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            places,
-            lambda i: F.struct(
-                F.xxhash64(F.lit(mask), *[F.get(F.col(t), i + p) for p in _places(mask)]).alias("hash"), i.alias("at")
-            ),
-        )
+        seed = F.lit(int(mask, 2))
+        return F.transform(places, lambda i: F.xxhash64(seed, *[F.get(F.col("t"), i + p) for p in _places(mask)]))
 
-    return F.concat(*map(under, masks))
+    by_mask = df.select(name, F.explode(F.array(*map(under, masks))).alias("hashes"))
+    return by_mask.select(name, F.posexplode("hashes").alias("at", "hash"))
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -55,15 +52,12 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     shortest = min(map(len, MASKS))
     short = sorted(r[0] for r in items.where(F.size("t").between(1, shortest - 1)).select(F.size("t")).distinct().collect())
     whole = tuple("1" * n for n in short)  # fewer than the shortest mask
-    sown = items.where(F.size("t") >= shortest).select("item", F.explode(_windows("t", MASKS)).alias("w"))
+    sown = _windows(items.where(F.size("t") >= shortest), "item", MASKS)
     for mask in whole:
-        own = items.where(F.size("t") == len(mask))
-        sown = sown.unionByName(own.select("item", F.explode(_windows("t", (mask,))).alias("w")))
-    sown = checkpoint(sown.select("item", F.col("w.hash").alias("hash"), F.col("w.at").alias("item_at")).distinct())
+        sown = sown.unionByName(_windows(items.where(F.size("t") == len(mask)), "item", (mask,)))
+    sown = checkpoint(sown.select("item", "hash", F.col("at").alias("item_at")).distinct())
     seeds = broadcast_if_small(sown, sown.count(), BROADCAST_ROWS)
-    grown = docs.select("doc", F.explode(_windows("t", MASKS + whole)).alias("w")).select(
-        "doc", F.col("w.hash").alias("hash"), F.col("w.at").alias("at")
-    )
+    grown = _windows(docs, "doc", MASKS + whole)
     return grown.join(seeds, "hash").select("doc", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
 
 
