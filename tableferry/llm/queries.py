@@ -13,7 +13,7 @@ from tableferry.llm.decontaminate import leaks
 from tableferry.llm.linededup import deduplicated
 from tableferry.llm.packing import pack
 from tableferry.llm.quality import apply_rules, learn_rules
-from tableferry.llm.secrets import BlobLedger, digest
+from tableferry.llm.secrets import BASE, RULES, BlobLedger, digest
 from tableferry.llm.sharding import sharded
 from tableferry.llm.simhash import hex_text, near_duplicates
 from tableferry.scratch import scratch_path
@@ -87,6 +87,38 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(ledger.scan(documents(spark, sf_dir).select("doc_id", "text"), "text", "0"), "doc_id")
 
 
+def _found_sql() -> str:
+    """Matches of every rule: split and extracted pieces give the places, as in Spark."""
+    parts = []
+    for order, (kind, pattern, group, least) in enumerate(RULES):
+        text = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"""
+            SELECT doc_id, '{kind}' AS kind, {order} AS rank, {least} AS least, regexp_extract_all(t, {text}) AS m,
+                   regexp_extract_all(t, {text}, {group}) AS g, regexp_split_to_array(t, {text}) AS p
+            FROM d WHERE regexp_matches(t, {text})""")
+    return " UNION ALL ".join(parts)
+
+
+ORACLES["op7_secret_scan"] = f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({_found_sql()}),
+    each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
+    placed AS (
+      SELECT doc_id, kind, rank, length(g[i]) >= least AS kept, length(m[i]) AS size,
+             list_sum(list_transform(p[1:i], lambda x: length(x)))
+               + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS start
+      FROM each),
+    joined AS (
+      SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b,
+             count(*) FILTER (kind = 'hex') AS c,
+             string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, rank)
+               FILTER (rank < {len(BASE)}) AS base,
+             string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, rank) AS spans
+      FROM placed WHERE kept GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN joined USING (doc_id)"""
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
