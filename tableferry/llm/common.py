@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -113,3 +114,59 @@ def labelled_sample(
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def group_links(
+    coded: DataFrame,
+    extra: list[str],
+    paired: int,
+    near: Callable[[str, str], Column],
+    verified: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Edges ``a``, ``b`` whose components are those of all verified pairs that share a code.
+
+    ``coded`` has ``code``, ``id`` and the columns ``extra`` that ``near`` (of two
+    aliases) reads. Groups of one code with few ids: all pairs. Larger groups: every id
+    is held against one of the group, another for each code; only ids of a group that
+    these links leave in different components are paired.
+    """
+    leader = F.min_by("id", F.xxhash64("id", "code")).alias("leader")
+    sizes = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n"), leader).where("n > 1")
+    sized = stored(coded.join(sizes, "code").select("code", "id", *extra, "n", "leader"), "groups")
+
+    def pairs(left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
+        joined = left.alias("l").join(right.alias("r"), "code").where(more & near("l", "r"))
+        return joined.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+
+    ordered = F.col("l.id") < F.col("r.id")
+    few, many = sized.where(F.col("n") <= paired), sized.where(F.col("n") > paired)
+    led = pairs(many.where("id = leader"), many, F.col("l.id") != F.col("r.id"))
+    found = verified(pairs(few, few, ordered).unionByName(led).distinct())
+    if many.isEmpty():
+        return found
+    roots = components(found).select(F.col("node").alias("id"), "root")
+    placed = checkpoint(many.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    mixed = placed.groupBy("code").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("code")
+    rest = placed.join(mixed, "code", "left_semi")
+    return found.unionByName(verified(pairs(rest, rest, ordered & (F.col("l.root") != F.col("r.root")))))
+
+
+def stand_ins(docs: DataFrame, placed: DataFrame, key: str, text: str, broadcast_rows: int) -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``placed``, which has a row for each of ``docs``.
+
+    ``placed`` has ``root``, ``_key``, ``_hash`` of the text and ``_rest``, the hash of
+    the row. Smallest key (NULL last), then text and row, by hash; of equal rows one.
+    """
+    order = F.struct(F.col("_key").isNull().alias("_none"), "_key", "_hash", "_rest")
+    least = placed.groupBy("root").agg(F.min(order).alias("_o"))
+    chosen = checkpoint(least.select("_o._key", "_o._hash", "_o._rest"))
+    wanted = broadcast_if_small(chosen, chosen.count(), broadcast_rows)
+    columns = docs.columns
+    marked = docs.select("*", F.xxhash64(text).alias("_h"), F.xxhash64(*[F.col(f"`{c}`") for c in columns]).alias("_r"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_hash")) & (F.col("_r") == F.col("_rest"))
+    repeated = checkpoint(placed.groupBy("_key", "_hash", "_rest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    found = marked.join(wanted, same, "left_semi")
+    again = repeated.drop("_n")
+    once = found.join(again, same, "left_anti").select(*columns)
+    several = found.join(again, same, "left_semi").dropDuplicates(["_r"])
+    return once.unionByName(several.select(*columns))
