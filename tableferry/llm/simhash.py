@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tableferry.llm.common import checkpoint, components
+from tableferry.llm.common import checkpoint, components, stand_ins
 
 SEED = 42
 #: Shingles hashed at once, so that long texts need no more memory.
@@ -30,6 +30,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRED = 24
 #: Bits that may differ.
 DISTANCE = 2
+#: Rows that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -176,20 +178,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stand for a component.
+    """The rows of ``docs``, with all their columns, that stand for a component: one row of each.
 
-    That is the row of the smallest key, one of them if rows repeat the key, or one row
-    of a component whose keys are all NULL.
+    That is the row of the smallest key (NULL last), then of the smallest hash of text and row.
     """
-    prints = checkpoint(fingerprints(docs, [key], text, words))
-    named = checkpoint(classes(prints, key))
-    ids = named.select(F.col("component_id").alias("_id")).where("_id is not null").distinct()
-    known = docs.join(ids, F.col(key) == F.col("_id"), "left_semi").dropDuplicates([key])
-    columns = docs.columns
-    nameless = docs.where(F.col(key).isNull()).toDF(*[f"_c{i}" for i in range(len(columns))])
-    printed = fingerprints(nameless, nameless.columns, f"_c{columns.index(text)}", words)
-    alone = printed.join(named.where("component_id is null"), "fingerprint").dropDuplicates(["root"])
-    return known.unionByName(alone.select(*nameless.columns).toDF(*columns))
+    rows = docs.select(
+        F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rest"), F.col(text).alias("_text"),
+    )
+    prints = checkpoint(fingerprints(rows, ["_key", "_hash", "_rest"], "_text", words))
+    placed = prints.join(classes(prints, "_key").select("fingerprint", "root"), "fingerprint")
+    return stand_ins(docs, placed, key, text, BROADCAST_ROWS)
 
 
 def hex_text(fingerprint: Column) -> Column:

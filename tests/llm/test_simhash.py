@@ -81,3 +81,12 @@ def test_one_of_each(spark):
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     assert sorted(i for i in ids if i is not None) == [1, 4, 5, 6, 7, 9] and ids.count(None) == 1
     assert simhash.one_of_each(empty(spark)).count() == 0
+
+
+def test_one_row_of_each_component_if_keys_repeat(spark):
+    texts = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abc"}
+    rows = [(7, texts["a"]), (7, texts["b"]), (3, texts["b"]), (7, texts["c"]), (9, texts["c"]), (7, texts["c"])]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        kept = sorted((r.doc_id, r.text[0]) for r in simhash.one_of_each(df).collect())
+        assert kept == [(3, "b"), (7, "a"), (7, "c")]
