@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tableferry.llm.common import labelled_sample
+from tableferry.llm.common import fold, labelled_sample
 
 #: Labelled documents of each class that are collected for learning, at most.
 SAMPLE_PER_CLASS = 2_000
@@ -187,7 +187,8 @@ def train(
     """A model of a bounded sample of labelled documents outside fold 1."""
     rows = labelled_sample(docs, labels, label, per_class).select("doc_id", "_label", "text").collect()
     rows = sorted((r[0], r[1], r[2] or "") for r in rows)
-    shares = labels.where(F.col(label).isin(0, 1)).agg(F.avg(label)).first()  # one row
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id") != 1))
+    shares = known.agg(F.avg(label)).first()  # one row
     return learn([r[2] for r in rows if r[1]], [r[2] for r in rows if not r[1]], shares[0])
 
 

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 from helpers import SF, awkward, empty, prose
@@ -49,3 +50,12 @@ def test_awkward_rows(spark):
     assert {r.score for r in toxicity.score(awkward(spark), nothing, ["doc_id"]).collect()} == {0.0}
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.train(awkward(spark), labels).weights == ()
+
+
+def test_prior_ignores_labels_of_fold_1(spark):
+    docs = spark.createDataFrame([(i, f"plain words of text number {i} " + ("nasty slur " * 3 if i % 4 == 0 else "")) for i in range(120)], "doc_id long, text string")
+    marked = [(i, int(i % 4 == 0)) for i in range(120)]
+    held = [(i, 1 if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, y in marked] + [(None, 1)]
+    schema = "doc_id long, toxic int"
+    first, second = (toxicity.train(docs, spark.createDataFrame(rows, schema)) for rows in (marked, held))
+    assert first == second
