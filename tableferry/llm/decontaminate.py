@@ -8,6 +8,9 @@ compared one by one: substitutions, also several, do not hide a passage.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tableferry.llm.common import broadcast_if_small, checkpoint
@@ -16,6 +19,8 @@ from tableferry.llm.common import broadcast_if_small, checkpoint
 MASKS = ("1101011", "11100101", "1100010011")
 #: Tokens of an overlap (of a shorter item: all of it), and the share that has to be equal.
 OVERLAP, SIMILARITY = 20, 0.8
+#: Items of fewer tokens have masks of their own length, as MASKS miss allowed substitutions in them.
+SHORT = 11
 #: Rows of hashes or texts that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -30,13 +35,24 @@ def _places(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks of ``n`` tokens, one of which is intact under any allowed number of substitutions.
+
+    The tokens are cut into two parts more than may differ; each mask opens as many parts
+    as may differ.
+    """
+    wrong = n - math.ceil(n * SIMILARITY - 1e-9)
+    part = [i * (wrong + 2) // n for i in range(n)]
+    return ["".join("01"[p not in opened] for p in part) for opened in combinations(range(wrong + 2), wrong)]
+
+
 def _windows(df: DataFrame, name: str, masks: tuple[str, ...]) -> DataFrame:
     """``name``, ``at`` and ``hash`` of every window of the tokens ``t`` under every mask."""
 
     def under(mask: str) -> Column:
         last = F.size("t") - len(mask)
         places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        seed = F.lit(int(mask, 2))
+        seed = F.lit(int("1" + mask, 2))
         return F.transform(places, lambda i: F.xxhash64(seed, *[F.get(F.col("t"), i + p) for p in _places(mask)]))
 
     by_mask = df.select(name, F.explode(F.array(*map(under, masks))).alias("hashes"))
@@ -46,15 +62,14 @@ def _windows(df: DataFrame, name: str, masks: tuple[str, ...]) -> DataFrame:
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Diagonals on which a window of a text and of an item agree.
 
-    ``docs`` has ``doc`` and ``t``, ``items`` has ``item`` and ``t``. Items that are
-    shorter than a mask are looked for as a whole, with a mask of their own length.
+    ``docs`` has ``doc`` and ``t``, ``items`` has ``item`` and ``t``. Short items are
+    looked for with masks of their own length.
     """
-    shortest = min(map(len, MASKS))
-    short = sorted(r[0] for r in items.where(F.size("t").between(1, shortest - 1)).select(F.size("t")).distinct().collect())
-    whole = tuple("1" * n for n in short)  # fewer than the shortest mask
-    sown = _windows(items.where(F.size("t") >= shortest), "item", MASKS)
-    for mask in whole:
-        sown = sown.unionByName(_windows(items.where(F.size("t") == len(mask)), "item", (mask,)))
+    short = sorted(r[0] for r in items.where(F.size("t").between(1, SHORT - 1)).select(F.size("t")).distinct().collect())
+    whole = tuple(mask for n in short for mask in short_masks(n))  # 25 at most
+    sown = _windows(items.where(F.size("t") >= SHORT), "item", MASKS)
+    for n in short:
+        sown = sown.unionByName(_windows(items.where(F.size("t") == n), "item", tuple(short_masks(n))))
     sown = checkpoint(sown.select("item", "hash", F.col("at").alias("item_at")).distinct())
     seeds = broadcast_if_small(sown, sown.count(), BROADCAST_ROWS)
     grown = _windows(docs, "doc", MASKS + whole)

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 from helpers import SF, awkward, documents, empty, prose, words
@@ -69,3 +70,17 @@ def test_awkward_rows(spark):
     assert kept.columns == df.columns and kept.count() == df.count() - 1
     assert decontaminate.clean(df, bench.limit(0)).count() == df.count()
     assert decontaminate.clean(empty(spark), bench).count() == 0 == decontaminate.leaks(empty(spark), bench).count()
+
+
+def test_allowed_substitutions_in_short_items(spark):
+    items, docs = [], []
+    for n in range(1, 13):
+        words = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        wrong = n - -(-n * 4 // 5)
+        for places in combinations(range(n), wrong):
+            text = " ".join("other" if i in places else w for i, w in enumerate(words))
+            docs.append((len(docs), n, f"before {text} after"))
+    df = spark.createDataFrame([(d, t) for d, _, t in docs], "doc_id long, text string")
+    found = decontaminate.leaks(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(d, n) for d, n, _ in docs}
