@@ -122,13 +122,15 @@ def group_links(
     paired: int,
     near: Callable[[str, str], Column],
     verified: Callable[[DataFrame], DataFrame],
+    prepare: Callable[[DataFrame], None] = lambda ids: None,
 ) -> DataFrame:
     """Edges ``a``, ``b`` whose components are those of all verified pairs that share a code.
 
     ``coded`` has ``code``, ``id`` and the columns ``extra`` that ``near`` (of two
     aliases) reads. Groups of one code with few ids: all pairs. Larger groups: every id
     is held against one of the group, another for each code; only ids of a group that
-    these links leave in different components are paired.
+    these links leave in different components are paired. ``prepare`` is called once
+    with all ids (distinct) that ``verified`` will see.
     """
     leader = F.min_by("id", F.xxhash64("id", "code")).alias("leader")
     sizes = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n"), leader).where("n > 1")
@@ -141,7 +143,9 @@ def group_links(
     ordered = F.col("l.id") < F.col("r.id")
     few, many = sized.where(F.col("n") <= paired), sized.where(F.col("n") > paired)
     led = pairs(many.where("id = leader"), many, F.col("l.id") != F.col("r.id"))
-    found = verified(pairs(few, few, ordered).unionByName(led).distinct())
+    first = checkpoint(pairs(few, few, ordered).unionByName(led).distinct())
+    prepare(first.select(F.explode(F.array("a", "b")).alias("id")).unionByName(many.select("id")).distinct())
+    found = verified(first)
     if many.isEmpty():
         return found
     roots = components(found).select(F.col("node").alias("id"), "root")
