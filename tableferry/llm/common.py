@@ -11,6 +11,8 @@ from tableferry.scratch import scratch_path, shared_root
 
 #: Rows of one group that a single task ranks; larger groups are split by hash.
 RANK_ROWS = 20_000
+#: Codes that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -132,9 +134,11 @@ def group_links(
     these links leave in different components are paired. ``prepare`` is called once
     with all ids (distinct) that ``verified`` will see.
     """
-    leader = F.min_by("id", F.xxhash64("id", "code")).alias("leader")
-    sizes = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n"), leader).where("n > 1")
-    sized = stored(coded.join(sizes, "code").select("code", "id", *extra, "n", "leader"), "groups")
+    counts = checkpoint(coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    several = broadcast_if_small(counts, counts.count(), BROADCAST_ROWS)  # most codes are of one id: no shuffle of ``extra``
+    shared = stored(coded.join(several, "code"), "shared")
+    leaders = shared.groupBy("code").agg(F.min_by("id", F.xxhash64("id", "code")).alias("leader"))
+    sized = stored(shared.join(leaders, "code").select("code", "id", *extra, "n", "leader"), "groups")
 
     def pairs(left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
         joined = left.alias("l").join(right.alias("r"), "code").where(more & near("l", "r"))
