@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tableferry import fixed
 from tableferry.functions.casts import NUMERIC
 from tableferry.plans.spec import Endpoint, SpecError
+from tableferry.sources.splits import conditions
 
 # One connection per task; a cluster must not open more than the database takes.
 DEFAULT_CONNECTIONS = 16
@@ -33,6 +34,20 @@ class Dialect:
     create_like: str = "CREATE TABLE {new} AS SELECT {cols} FROM {old} WHERE 1 = 0"
     add_column: str = "ALTER TABLE {new} ADD {name} {type}"
     bigint: str = "BIGINT"
+    # literals, and how keys are numbered, compared and sampled
+    text_prefix: str = ""
+    backslashes: bool = False  # a backslash in a text literal escapes
+    timestamp: str = "TIMESTAMP '{}'"
+    date: str = "DATE '{}'"
+    binary: str = "X'{}'"
+    remainder: str = "MOD({a}, {b})"
+    numbered: str = "SELECT {cols}, ROW_NUMBER() OVER (ORDER BY {cols}) AS tf_rn FROM {table} WHERE {where}"
+    row_values: bool = False
+    sample: str | None = None
+    # tables without a key: "pages", "rowids", "hash" or nothing
+    chunks: str | None = None
+    hashed: str = ""
+    first_rows: str = "{sql} FETCH FIRST 1 ROWS ONLY"
     read_options: dict[str, str] = field(default_factory=dict)
     write_options: dict[str, str] = field(default_factory=dict)
 
@@ -79,6 +94,10 @@ POSTGRES = Dialect(
     url=_pg_url,
     table=lambda ep: POSTGRES.qualified(_schema(ep), ep.need("table")),
     columns_sql=_pg_columns,
+    binary="'\\x{}'::bytea",
+    row_values=True,
+    sample="{table} TABLESAMPLE SYSTEM ({percent})",
+    chunks="pages",
 )
 
 
@@ -107,6 +126,11 @@ MYSQL = Dialect(
     table=lambda ep: MYSQL.qualified(ep.need("database"), ep.need("table")),
     columns_sql=_my_columns,
     quotes=("`", "`"),
+    backslashes=True,
+    sample="(SELECT * FROM {table} WHERE RAND() * 100 < {percent}) tf_s",
+    chunks="hash",
+    hashed="MOD(CRC32(CONCAT_WS('|', {columns})), {parts}) = {part}",
+    first_rows="{sql} LIMIT 1",
 )
 
 
@@ -147,6 +171,15 @@ MSSQL = Dialect(
         "SELECT {cols} INTO {new} FROM {old} WHERE 1 = 0 "
         "UNION ALL SELECT {cols} FROM {old} WHERE 1 = 0"
     ),
+    text_prefix="N",
+    timestamp="CAST('{}' AS datetime2)",
+    date="CAST('{}' AS date)",
+    binary="0x{}",
+    remainder="({a}) % {b}",
+    sample="{table} TABLESAMPLE ({percent} PERCENT)",
+    chunks="hash",
+    hashed="ABS(CAST(BINARY_CHECKSUM(*) AS BIGINT)) % {parts} = {part}",
+    first_rows="{sql} OFFSET 0 ROWS FETCH NEXT 1 ROWS ONLY",
 )
 
 
@@ -181,6 +214,9 @@ ORACLE = Dialect(
     table=lambda ep: ep.need("table"),
     columns_sql=_ora_columns,
     bigint="NUMBER(19)",
+    binary="HEXTORAW('{}')",
+    sample="{table} SAMPLE ({percent})",
+    chunks="rowids",
 )
 
 
@@ -208,6 +244,13 @@ DERBY = Dialect(
     table=_any_table,
     columns_sql=_derby_columns,
     create_like="CREATE TABLE {new} AS SELECT {cols} FROM {old} WITH NO DATA",
+    timestamp="TIMESTAMP('{}')",
+    date="DATE('{}')",
+    # its row numbers have no order of their own: the rows are put in order first
+    numbered=(
+        "SELECT {cols}, ROW_NUMBER() OVER () AS tf_rn FROM "
+        "(SELECT {cols} FROM {table} WHERE {where} ORDER BY {cols}) tf_o"
+    ),
 )
 
 DIALECTS = {"postgres": POSTGRES, "mysql": MYSQL, "mssql": MSSQL, "oracle": ORACLE}
@@ -277,86 +320,82 @@ def fetch_row(conn, sql: str, columns: int = 1):
         statement.close()
 
 
+#: SQL states, and Oracle's error number, that say that there is no such table.
+_NO_TABLE, _NO_TABLE_ORACLE = {"42P01", "42S02", "S0002", "42X05"}, 942
+
+
+def _is_absent(e: Exception) -> bool:
+    cause = getattr(e, "java_exception", None)
+    while cause is not None:
+        if "getSQLState" in dir(cause):
+            return cause.getSQLState() in _NO_TABLE or cause.getErrorCode() == _NO_TABLE_ORACLE
+        cause = cause.getCause()
+    return False
+
+
+def answers(conn, table: str) -> bool:
+    """Whether the table is there; any other failure, of rights or connections, is an error."""
+    try:
+        fetch_row(conn, f"SELECT 1 FROM {table} WHERE 1 = 0")
+        return True
+    except Exception as e:
+        if _is_absent(e):
+            return False
+        raise
+
+
 def table_exists(spark: SparkSession, ep: Endpoint) -> bool:
-    """Whether the table answers; a failing connection is an error, not an absence."""
-    with connection(spark, ep) as conn:
-        try:
-            fetch_row(conn, f"SELECT 1 FROM {dialect_of(ep).table(ep)} WHERE 1 = 0")
-            return True
-        except Exception as e:
-            if "SQLException" in str(e) or "SQLSyntax" in str(e) or "PSQLException" in str(e):
-                return False
-            raise
-
-
-def primary_key(spark: SparkSession, ep: Endpoint) -> str | None:
-    """The single column of the primary key, if the key has just one."""
-    schema, table = ep.get("schema"), ep.need("table")
-    if ep.type == "oracle":
-        schema, table = oracle_owner(ep)
-    elif ep.type in fixed.DEFAULT_SCHEMA:
-        schema = _schema(ep)
-    catalog = ep.get("database") if ep.type == "mysql" else None
     with connection(spark, ep) as conn:
-        rows = conn.getMetaData().getPrimaryKeys(catalog, schema, table.strip('"'))
-        names = []
-        while rows.next():
-            names.append(rows.getString("COLUMN_NAME"))
-    return names[0] if len(names) == 1 else None
+        return answers(conn, dialect_of(ep).table(ep))
 
 
 # --- reading -----------------------------------------------------------------
 
-_RANGE_TYPES = NUMERIC + (T.DateType, T.TimestampType, T.TimestampNTZType)
-
-
-def _partition_options(spark: SparkSession, ep: Endpoint, plain: DataFrame) -> dict[str, str]:
-    """Range-split options: the configured column, else a single-column primary key."""
-    count = int(ep.get("numPartitions", DEFAULT_CONNECTIONS))
-    if count <= 1:
-        return {}
-    column = ep.get("partitionColumn") or primary_key(spark, ep)
-    types = {f.name.lower(): f for f in plain.schema.fields}
-    found = types.get(str(column).lower())
-    if found is None or not isinstance(found.dataType, _RANGE_TYPES):
-        if ep.get("partitionColumn"):
-            raise SpecError(f"cannot split the read by column '{column}'")
-        return {}
-    d = dialect_of(ep)
-    low, high = ep.get("lowerBound"), ep.get("upperBound")
-    if low is None or high is None:
-        name = d.quote(found.name)
-        query = f"SELECT MIN({name}) AS lo, MAX({name}) AS hi FROM {d.table(ep)}"
-        bounds = spark.read.format("jdbc").options(**connection_options(ep), query=query).load()
-        low, high = bounds.first()
-        if low is None:
-            return {}
-        if isinstance(found.dataType, NUMERIC):
-            low, high = int(low), int(high) + 1
+_WIDTH_TYPES = NUMERIC + (T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
+def _equal_widths(ep: Endpoint, plain: DataFrame, parts: int) -> dict[str, str]:
+    """Spark's own split into ranges of equal width between given bounds."""
+    column = str(ep.get("partitionColumn"))
+    found = {f.name.lower(): f for f in plain.schema.fields}.get(column.lower())
+    if found is None or not isinstance(found.dataType, _WIDTH_TYPES):
+        raise SpecError(f"cannot split the read by column '{column}'")
     return {
         "partitionColumn": found.name,
-        "lowerBound": str(low),
-        "upperBound": str(high),
-        "numPartitions": str(count),
+        "lowerBound": str(ep.get("lowerBound")),
+        "upperBound": str(ep.get("upperBound")),
+        "numPartitions": str(parts),
     }
 
 
-def read_table(spark: SparkSession, ep: Endpoint) -> DataFrame:
-    """The whole table, split by ranges of a numeric, date or timestamp column.
+def read_table(spark: SparkSession, ep: Endpoint, where: str | None = None) -> DataFrame:
+    """The whole table, or its rows with ``where``, in ``numPartitions`` parts of equally many rows.
 
-    Without ``partitionColumn`` in the config a single-column primary key is
-    used; without either there is one partition and one connection.
+    The parts are ranges of ``partitionColumn`` (one column or several, of any type that
+    has an order; ties are broken by the table's own key), else of the primary key or a
+    unique index. A table without any is cut by the places or hashes of its rows where
+    the database has them (not in views), and else read by one task. ``lowerBound`` and
+    ``upperBound`` ask for ranges of equal width instead, without a look at the table.
+    The parts are read by statements of their own: rows that are changed meanwhile are
+    seen or not.
     """
     d = dialect_of(ep)
     options = {
         **connection_options(ep),
         **d.read_options,
-        "dbtable": d.table(ep),
         "fetchsize": str(ep.get("fetchsize", FETCH_SIZE)),
     }
-    plain = spark.read.format("jdbc").options(**options).load()
-    split = _partition_options(spark, ep, plain)
-    return spark.read.format("jdbc").options(**options, **split).load() if split else plain
+    reader = spark.read.format("jdbc")
+    plain = reader.options(**options, dbtable=d.table(ep)).load()
+    parts = int(ep.get("numPartitions", DEFAULT_CONNECTIONS))
+    if where is None and parts > 1 and ep.get("lowerBound") is not None and ep.get("upperBound") is not None:
+        split = _equal_widths(ep, plain, parts)
+        return spark.read.format("jdbc").options(**options, dbtable=d.table(ep), **split).load()
+    found = conditions(spark, ep, plain.schema, parts, where) if parts > 1 else [where or "1 = 1"]
+    if len(found) <= 1 and where is None:
+        return plain
+    url = options.pop("url")
+    return spark.read.jdbc(url, d.table(ep), predicates=found or [where], properties=options)
 
 
 def read_columns(spark: SparkSession, ep: Endpoint) -> DataFrame:

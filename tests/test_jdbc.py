@@ -130,7 +130,7 @@ def test_partitioned_by_primary_key(spark, new):
 
 
 def test_partition_column_has_to_have_an_order(spark, new):
-    e = new(numPartitions=4, partitionColumn="name")
+    e = new(numPartitions=4, partitionColumn="nom")
     with pytest.raises(SpecError, match="cannot split"):
         read_endpoint(spark, e)
 
