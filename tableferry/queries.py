@@ -625,10 +625,15 @@ CUSTOMER_DDL = (
 
 def new_table(spark: SparkSession, columns: str, **config) -> Endpoint:
     """A fresh database table with lower-case column names."""
-    name = f"T_{uuid.uuid4().hex[:12].upper()}"
-    ep = Endpoint("jdbc", {"url": database(spark), "table": name, **config})
     words = columns.replace("(c_", '("c_', 1).replace(", c_", ', "c_')
     ddl = " ".join(f'{w}"' if w.lstrip("(").startswith('"c_') else w for w in words.split(" "))
+    return quoted_table(spark, ddl, **config)
+
+
+def quoted_table(spark: SparkSession, ddl: str, **config) -> Endpoint:
+    """A fresh database table, its columns as they are written."""
+    name = f"T_{uuid.uuid4().hex[:12].upper()}"
+    ep = Endpoint("jdbc", {"url": database(spark), "table": name, **config})
     with connection(spark, ep) as conn:
         execute(conn, f"CREATE TABLE {name} {ddl}")
     return ep
@@ -663,6 +668,39 @@ def jdbc_partitioned_read(spark, sf_dir):
     return read_endpoint(spark, ep)
 
 
+@query("""
+    SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey * 1000 ELSE o_orderkey END AS id,
+           o_custkey AS customer, o_totalprice AS total FROM orders""")
+def jdbc_skewed_read(spark, sf_dir):
+    """Nine of ten keys in a thousandth of their range, read in parts of equally many rows."""
+    ddl = '("id" BIGINT NOT NULL PRIMARY KEY, "customer" BIGINT, "total" DOUBLE PRECISION)'
+    ep = quoted_table(spark, ddl, numPartitions=8)
+    key = F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderkey") * 1000).otherwise(F.col("o_orderkey"))
+    orders = table(spark, sf_dir, "orders")
+    write_endpoint(orders.select(key.alias("id"), F.col("o_custkey").alias("customer"), F.col("o_totalprice").alias("total")), ep)
+    return read_endpoint(spark, ep)
+
+
+@query("""
+    SELECT c_mktsegment AS segment, c_name AS name, c_custkey AS id, c_acctbal AS balance FROM customer""")
+def jdbc_composite_read(spark, sf_dir):
+    """Read in ranges of a key of two texts, the first of which has few values."""
+    ddl = (
+        '("segment" VARCHAR(20) NOT NULL, "name" VARCHAR(100) NOT NULL, "id" BIGINT, "balance" DOUBLE PRECISION, '
+        'PRIMARY KEY ("segment", "name"))'
+    )
+    ep = quoted_table(spark, ddl, numPartitions=7)
+    customer = table(spark, sf_dir, "customer")
+    write_endpoint(
+        customer.select(
+            F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name"),
+            F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"),
+        ),
+        ep,
+    )
+    return read_endpoint(spark, ep)
+
+
 @query("""
     SELECT c_custkey, c_name, CAST(NULL AS INTEGER) AS c_nationkey,
            c_acctbal, CAST(NULL AS VARCHAR) AS c_mktsegment FROM customer""")
@@ -936,3 +974,22 @@ def incremental_copy_events(spark, sf_dir):
         F.count(F.lit(1)).alias("copies")
     )
 
+
+
+@query("SELECT c_custkey AS id, c_name AS name, 1::BIGINT AS copies FROM customer")
+def incremental_jdbc(spark, sf_dir):
+    """A recurring copy from a growing table: three runs by a cursor, each row once."""
+    ddl = '("id" BIGINT NOT NULL PRIMARY KEY, "stage" INTEGER NOT NULL, "name" VARCHAR(100))'
+    source = quoted_table(spark, ddl, cursor="stage", numPartitions=4)
+    out, checkpoint = scratch_path(spark, "rows"), scratch_path(spark, "checkpoint")
+    stage = F.floor(F.col("c_nationkey") / 9).cast("int")
+    customer = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.coalesce(stage, F.lit(0)).alias("stage"), F.col("c_name").alias("name")
+    )
+    for number in range(3):
+        write_endpoint(customer.where(F.col("stage") == number), source)
+        run = incremental_copy(
+            spark, source, {"dbType": "spark", "config": {"path": out}}, [("id", "id"), ("name", "name")], checkpoint=checkpoint
+        )
+        run.awaitTermination()
+    return spark.read.parquet(out).groupBy("id", "name").agg(F.count(F.lit(1)).alias("copies"))
