@@ -596,6 +596,14 @@ def object_csv_read(spark, sf_dir):
     return read_object_csv(spark, out)
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents")
+def csv_split_multiline(spark, sf_dir):
+    """Texts with line breaks as CSV, read back by as many tasks as the files have splits."""
+    out = scratch_path(spark, "lines")
+    write_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").coalesce(1), out)
+    return read_csv(spark, out, multiline="split")
+
+
 # --- databases ---------------------------------------------------------------
 
 

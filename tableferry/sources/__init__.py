@@ -15,6 +15,12 @@ def as_flag(value) -> bool:
     return value if isinstance(value, bool) else str(value).lower() in ("true", "1", "yes")
 
 
+def line_breaks(ep: Endpoint) -> bool | str:
+    """How cells with line breaks are read: by whole files, not at all, or over splits."""
+    value = ep.get("multiline", True)
+    return "split" if str(value).lower() == "split" else as_flag(value)
+
+
 def read_endpoint(
     spark: SparkSession, endpoint, *, malformed_column: str | None = None
 ) -> DataFrame:
@@ -24,12 +30,13 @@ def read_endpoint(
     format or table Spark knows (``format`` and ``path``, or ``table``).
     """
     ep = Endpoint.of(endpoint)
-    multiline = as_flag(ep.get("multiline", True))
+    multiline = line_breaks(ep)
     if ep.type == "csv":
         return read_csv(
             spark,
             ep.need("path"),
             multiline=multiline,
+            headers=ep.get("headers", "each"),
             blanks=ep.get("blanks", "exact"),
             malformed_column=malformed_column,
         )

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tableferry.scratch import path_exists
+from tableferry.sources.records import split_records
 
 READ_OPTIONS = {
     "quote": '"',
@@ -75,7 +76,8 @@ def read_csv(
     spark: SparkSession,
     path: str | list[str],
     *,
-    multiline: bool = True,
+    multiline: bool | str = True,
+    headers: str = "each",
     blanks: str = "exact",
     strict_rows: bool = False,
     malformed_column: str | None = None,
@@ -88,7 +90,10 @@ def read_csv(
 
     ``multiline`` says whether a cell may hold a line break.  A file is then one task;
     without, files of any size are split over tasks, and a line break ends a row even
-    inside quotes.  Nothing else depends on the size of a file.
+    inside quotes.  ``"split"`` gives both: files are split, and rows are put together by
+    the parity of the quotes before each line, which takes two passes and a shuffle.  It
+    counts every quote, so a lone one inside an unquoted cell is read otherwise.  Nothing
+    else depends on the size of a file.
 
     ``blanks`` says what a blank cell becomes.  ``exact``: '' where the row has
     the cell and NULL where the row is too short.  ``empty``: always ''.
@@ -97,7 +102,9 @@ def read_csv(
 
     Files are matched by the names in their own headers: the columns are those of the
     first file by path, in its order, and a file whose names differ from them in more
-    than their order is an error.
+    than their order is an error.  With ``headers="first"`` the driver reads one header
+    only, and the tasks hold the others against it while they read: for any number of
+    files, all with the same columns in the same order.
 
     ``strict_rows`` fails on a row with too few or too many cells.
     ``malformed_column`` adds a flag for rows whose number of cells differs from the
@@ -107,13 +114,21 @@ def read_csv(
     """
     if blanks not in ("exact", "empty", "null"):
         raise ValueError(f"unknown treatment of blank cells: {blanks}")
+    if headers not in ("each", "first"):
+        raise ValueError(f"unknown treatment of headers: {headers}")
+    if multiline == "split" and (stream or headers == "first"):
+        raise ValueError("multiline='split' reads the header of each file, and no streams")
     paths = [clean_path(p) for p in ([path] if isinstance(path, str) else path)]
+    one = headers == "first" and not stream
     if stream and columns:
         layouts = {tuple(columns): paths}
     elif (missing_ok or stream) and not any(path_exists(spark, p) for p in paths):
         if stream:
             raise ValueError(f"nothing is at {paths[0]} yet: name the columns")
         return spark.createDataFrame([], T.StructType([]))
+    elif one:
+        names = read_header(spark, paths)
+        layouts = {tuple(names): paths} if names else {}
     else:
         layouts = read_layouts(spark, paths)
     if not layouts:
@@ -127,7 +142,7 @@ def read_csv(
     parts = [
         _read_layout(
             spark, paths if stream or len(layouts) == 1 else files, list(names), multiline, blanks,
-            strict_rows, malformed_column, stream, files_per_trigger,
+            strict_rows, malformed_column, stream, files_per_trigger, one,
         )
         for names, files in layouts.items()
     ]
@@ -135,11 +150,13 @@ def read_csv(
 
 
 def _read_layout(
-    spark, paths, header, multiline, blanks, strict_rows, malformed_column, stream, files_per_trigger
+    spark, paths, header, multiline, blanks, strict_rows, malformed_column, stream, files_per_trigger, one
 ) -> DataFrame:
     """Files with one header."""
     unique = len({n.lower() for n in header}) == len(header) and "" not in header
-    checked = stream and unique  # files that come later are held against the header
+    if one and not unique:
+        raise ValueError(f"headers='first' needs names that differ: {header}")
+    checked = (stream or one) and unique  # other files, and those that come later, are held against the header
     names = header if checked else [f"c{i}" for i in range(len(header))]
     flag_rows = not strict_rows and (blanks == "exact" or malformed_column is not None)
     fields = [T.StructField(n, T.StringType()) for n in names]
@@ -153,7 +170,13 @@ def _read_layout(
         reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=_FLAGGED, columnPruning=False)
     elif strict_rows:
         reader = reader.options(mode="FAILFAST", columnPruning=False)
-    df = reader.schema(T.StructType(fields)).csv(paths[0] if stream else paths)
+    if multiline == "split":
+        mode = {"mode": "FAILFAST"} if strict_rows else {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _FLAGGED}
+        options = {k: str(v) for k, v in (READ_OPTIONS | mode | {"multiLine": True}).items()}
+        kind = ", ".join(f"`{f.name}` string" for f in fields)
+        df = split_records(spark, paths).select(F.from_csv("record", kind, options).alias("_row")).select("_row.*")
+    else:
+        df = reader.schema(T.StructType(fields)).csv(paths[0] if stream else paths)
     df = df.toDF(*[f"c{i}" for i in range(len(header))], *([_FLAGGED] if flag_rows else []))
 
     if flag_rows and blanks == "exact":

@@ -88,6 +88,6 @@ def connect(spark: SparkSession, ep: Endpoint) -> str:
     return object_uri(ep)
 
 
-def read_object_csv(spark: SparkSession, uri: str, multiline: bool = True) -> DataFrame:
+def read_object_csv(spark: SparkSession, uri: str, multiline: bool | str = True) -> DataFrame:
     """Like ``read_csv``, but a row with the wrong number of cells is an error."""
     return read_csv(spark, uri, multiline=multiline, strict_rows=True)
