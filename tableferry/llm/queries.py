@@ -150,8 +150,8 @@ def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_embedding_near_dedup"] = """
     WITH RECURSIVE v AS (
       SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-      WHERE label IS NOT NULL AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, x -> x IS NULL OR NOT isfinite(x)), true)
-        AND list_contains(list_transform(embedding, x -> x <> 0), true)),
+      WHERE label IS NOT NULL AND len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+        AND list_contains(list_transform(embedding, lambda x: x <> 0), true)),
     links AS (
       SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
       WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
