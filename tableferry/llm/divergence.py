@@ -15,11 +15,13 @@ with ``N`` occurrences and ``V`` terms kept; the divergence of ``p`` from ``q``
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tableferry.llm.common import broadcast_if_small, stored
@@ -32,89 +34,170 @@ DOCUMENTS, SHOWN = 3, 200
 #: Powers of ten that shares are counted in, three at a time.
 SCALE_STEPS = 3
 #: Entries of the stripes that a task holds before it sends them on.
-HELD = 400_000
+HELD = 2_000_000
 #: Characters of a text that are matched at once; the cut is moved to the end of a term.
 PIECE = 1 << 20
+#: Characters of the texts that are counted at once.
+BLOCK = 1 << 20
 #: Cells (terms by sources) of a block.
-CELLS = 1 << 21
+CELLS = 1 << 19
 #: Rows that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 STRIPE = "lang string, term string, docs bigint, sources array<string>, counts array<bigint>"
 
 
-def term_counts(text: str) -> Counter:
-    """Occurrences of each term of a whole text."""
-    counts: Counter = Counter()
+def pieces(text: str) -> Iterator[list[str]]:
+    """Terms of a whole text, in lists of about ``PIECE`` characters of it."""
     at = 0
     while at < len(text):
         stop = min(len(text), at + PIECE)
         if stop < len(text) and (more := TERM.match(text, stop)):
             stop = more.end()  # no term is cut
-        counts.update(TERM.findall(text[at:stop].translate(FOLDED)))
+        yield TERM.findall(text[at:stop].translate(FOLDED))
         at = stop
-    return counts
-
-
-def _sent(lang: str, held: dict[str, list]) -> pa.RecordBatch:
-    """The stripes of one language as rows, in the order of the terms."""
-    terms = sorted(held)
-    sizes = np.fromiter((len(held[t][1]) for t in terms), dtype=np.int32, count=len(terms))
-    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
-    names = [s for t in terms for s in held[t][1]]
-    counts = [n for t in terms for n in held[t][1].values()]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([lang] * len(terms), pa.string()),
-            pa.array(terms, pa.string()),
-            pa.array([held[t][0] for t in terms], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(ends), pa.array(names, pa.string())),
-            pa.ListArray.from_arrays(pa.array(ends), pa.array(counts, pa.int64())),
-        ],
-        ["lang", "term", "docs", "sources", "counts"],
-    )
+
+
+def _added(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each code once, in order, with the sum of its counts."""
+    found, where = np.unique(codes, return_inverse=True)
+    sums = np.zeros(len(found), dtype=np.int64)
+    np.add.at(sums, where, counts)
+    return found, sums
+
+
+class Stripes:
+    """The table of stripes of one language: numbers of terms and sources, and counts by both."""
+
+    def __init__(self) -> None:
+        self.terms: defaultdict[str, int] = defaultdict()
+        self.terms.default_factory = self.terms.__len__
+        self.sources: defaultdict[str, int] = defaultdict()
+        self.sources.default_factory = self.sources.__len__
+        self.docs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.counts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.entries = 0
+
+    def add(self, sources: list[str], lists: list[list[str]]) -> None:
+        """Documents of one block, each by all of its terms."""
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        ids = np.fromiter(map(self.terms.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=int(sizes.sum()))
+        source = np.fromiter(map(self.sources.__getitem__, sources), dtype=np.int64, count=len(sources))
+        doc = np.repeat(np.arange(len(lists)), sizes)
+        each, n = np.unique(doc << 40 | ids, return_counts=True)
+        doc, ids = each >> 40, each & (1 << 40) - 1
+        self._keep(ids, ids << 32 | source[doc], n)
+
+    def add_long(self, source: str, lists: Iterator[list[str]]) -> None:
+        """One document, piece by piece."""
+        seen, at = [], self.sources[source]
+        for terms in lists:
+            ids, n = np.unique(np.fromiter(map(self.terms.__getitem__, terms), np.int64, len(terms)), return_counts=True)
+            self.counts.append((ids << 32 | at, n))
+            self.entries += len(ids)
+            seen = [np.unique(np.concatenate([*seen, ids]))]
+        none = np.zeros(0, np.int64)
+        self._keep(seen[0] if seen else none, none, none)
+
+    def _keep(self, ids: np.ndarray, codes: np.ndarray, n: np.ndarray) -> None:
+        self.docs.append(_added(ids, np.ones(len(ids), dtype=np.int64)))
+        self.counts.append(_added(codes, n))
+        self.entries += len(self.counts[-1][0])
+
+    def merge(self) -> None:
+        for name in ("docs", "counts"):
+            parts = getattr(self, name)
+            if len(parts) > 1:
+                setattr(self, name, [_added(*(np.concatenate(p) for p in zip(*parts, strict=True)))])
+        self.entries = sum(len(c) for c, _ in self.counts)
+
+    def sent(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """The stripes as rows."""
+        self.merge()
+        if not self.terms:
+            return
+        codes, counts = self.counts[0]
+        docs = np.zeros(len(self.terms), dtype=np.int64)
+        docs[self.docs[0][0]] = self.docs[0][1]
+        ends = np.searchsorted(codes >> 32, np.arange(len(self.terms) + 1)).astype(np.int32)
+        names = pa.array(list(self.sources), pa.string()).take(pa.array(codes & (1 << 32) - 1))
+        yield _rows(pa.array([lang] * len(self.terms), pa.string()), pa.array(list(self.terms), pa.string()), docs, ends, names, counts)
+
+
+def _rows(lang: pa.Array, terms: pa.Array, docs: np.ndarray, ends: np.ndarray, names: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    lists = [pa.ListArray.from_arrays(pa.array(ends), values) for values in (names, pa.array(counts))]
+    return pa.RecordBatch.from_arrays([lang, terms, pa.array(docs), *lists], ["lang", "term", "docs", "sources", "counts"])
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stripes of the documents of one task, in as many tables as ``HELD`` asks for."""
-    held: dict[str, dict[str, list]] = {}
-    entries = 0
+    held: defaultdict[str, Stripes] = defaultdict(Stripes)
+    waiting: dict[str, tuple[list, list]] = {}
+    size = 0
+
+    def fold() -> None:
+        for lang, (sources, lists) in waiting.items():
+            held[lang].add(sources, lists)
+        waiting.clear()
+
     for batch in batches:
         for text, lang, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            stripes = held.setdefault(lang, {})
-            for term, n in term_counts(text).items():
-                stripe = stripes.get(term)
-                if stripe is None:
-                    stripes[term] = [1, {source: n}]
-                    entries += 1
-                else:
-                    stripe[0] += 1
-                    entries += source not in stripe[1]
-                    stripe[1][source] = stripe[1].get(source, 0) + n
-            if entries >= HELD:
-                yield from (_sent(name, found) for name, found in held.items() if found)
-                held, entries = {}, 0
-    yield from (_sent(name, found) for name, found in held.items() if found)
+            if len(text) > PIECE:
+                held[lang].add_long(source, pieces(text))
+                size += len(text)
+            else:
+                sources, lists = waiting.setdefault(lang, ([], []))
+                sources.append(source)
+                lists.append(next(pieces(text), []))
+                size += len(text)
+            if size < BLOCK:
+                continue
+            fold()
+            size = 0
+            if sum(s.entries for s in held.values()) > HELD:
+                for s in held.values():
+                    s.merge()
+                if sum(s.entries for s in held.values()) > HELD // 2:
+                    for name, s in held.items():
+                        yield from s.sent(name)
+                    held.clear()
+    fold()
+    for name, s in held.items():
+        yield from s.sent(name)
+
+
+def _runs(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows that are equal in language and term, and follow each other, as one."""
+    lang, term = rows.column("lang"), rows.column("term")
+    new = np.ones(rows.num_rows, dtype=bool)
+    changed = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1]))
+    new[1:] = changed.to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(new)
+    lists = rows.column("sources")
+    names = lists.flatten().dictionary_encode()
+    width = max(1, len(names.dictionary))
+    row = np.repeat(np.cumsum(new) - 1, np.diff(lists.offsets.to_numpy()))
+    codes, counts = _added(row * width + names.indices.to_numpy(), rows.column("counts").flatten().to_numpy())
+    ends = np.searchsorted(codes // width, np.arange(len(starts) + 1)).astype(np.int32)
+    at = pa.array(starts)
+    docs = np.add.reduceat(rows.column("docs").to_numpy(), starts)
+    return _rows(lang.take(at), term.take(at), docs, ends, names.dictionary.take(pa.array(codes % width)), counts)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of equal language and term, which come one after the other, added up."""
-    lang, held = None, {}
+    """Stripes added up; rows come in the order of language and term."""
+    last = None
     for batch in batches:
-        for name, term, docs, sources, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if term in held and name == lang:
-                stripe = held[term]
-                stripe[0] += docs
-                for source, n in zip(sources, counts, strict=True):
-                    stripe[1][source] = stripe[1].get(source, 0) + n
-                continue
-            if name != lang or len(held) >= 4096:  # rows are sorted: these stripes are complete
-                if held:
-                    yield _sent(lang, held)
-                lang, held = name, {}
-            held[term] = [docs, dict(zip(sources, counts, strict=True))]
-    if held:
-        yield _sent(lang, held)
+        if not batch.num_rows:
+            continue
+        if last is not None:
+            batch = pa.Table.from_batches([last, batch.cast(last.schema)]).combine_chunks().to_batches()[0]
+        found = _runs(batch)
+        if found.num_rows > 1:
+            yield found.slice(0, found.num_rows - 1)
+        last = _runs(found.slice(found.num_rows - 1))  # goes on, perhaps, in the next rows
+    if last is not None:
+        yield last
 
 
 def stripes(docs: DataFrame) -> DataFrame:
