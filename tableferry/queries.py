@@ -14,6 +14,7 @@ from tableferry.functions.casts import EPOCH
 from tableferry.functions.redact import redact
 from tableferry.operators.audit import audit_specs, export_specs
 from tableferry.operators.infer import all_string, infer_all_rows, infer_first_row
+from tableferry.operators.ledger import infer_incremental
 from tableferry.operators.mapping import apply_mapping, auto_map
 from tableferry.plans.migrate import discover, migrate
 from tableferry.plans.runs import run_events, run_history, run_summaries
@@ -461,6 +462,17 @@ def infer_all_rows_events(spark, sf_dir):
     return infer_all_rows(table(spark, sf_dir, "events"))
 
 
+@query(ORACLES["infer_all_rows"], name="infer_incremental")
+def infer_incremental_events(spark, sf_dir):
+    """Two looks at a growing folder of CSV files; the second one reads the new files only."""
+    out, known = scratch_path(spark, "files"), scratch_path(spark, "states")
+    events = table(spark, sf_dir, "events")
+    for kind in (F.col("event_type") == "click", ~F.coalesce(F.col("event_type") == "click", F.lit(False))):
+        write_csv(events.where(kind), out, mode="append")
+        labels = infer_incremental(spark, out, known)
+    return labels
+
+
 @query("""
     SELECT 0 AS pos, 'id' AS name, 'INT' AS type UNION ALL
     SELECT 1, 'day', 'DATE' UNION ALL SELECT 2, 'final', 'STRING'""")
@@ -900,6 +912,23 @@ def workflow_fan_out(spark, sf_dir):
     return keys.unionByName(read_csv(spark, f"{out}/all").withColumn("sink", F.lit("all")))
 
 
+@query("SELECT o_orderkey AS id, o_orderpriority AS prio, 1::BIGINT AS copies FROM orders")
+def workflow_resume(spark, sf_dir):
+    """A workflow that is run again takes the edges that are not on record: each row once."""
+    records, rows = scratch_path(spark, "edges"), quoted_table(spark, '("id" BIGINT, "prio" VARCHAR(40))')
+    source = {"id": "src", "kind": "source", "label": "orders", **parquet(sf_dir, "orders")}
+    target = {"id": "db", "kind": "destination", "label": "db", "dbType": "jdbc", "config": rows.config}
+    files = {"path": scratch_path(spark, "keys")}
+    other = {"id": "keys", "kind": "destination", "label": "keys", "dbType": "csv", "config": files}
+    first = {"nodes": [source, target], "edges": [{"from": "src", "to": "db"}]}
+    both = {"nodes": [source, target, other], "edges": [*first["edges"], {"from": "src", "to": "keys"}]}
+    mappings = {("src", "db"): [("o_orderkey", "id"), ("o_orderpriority", "prio")], ("src", "keys"): [("o_orderkey", "id")]}
+    for spec in (first, both):
+        for result in run_workflow(spark, spec, mappings=mappings, ledger=records, concurrent=2):
+            done(result)
+    return read_endpoint(spark, rows).groupBy("id", "prio").agg(F.count(F.lit(1)).alias("copies"))
+
+
 def order_specs(spark, sf_dir) -> DataFrame:
     """A workflow per order: a CSV source and a database destination, some incomplete."""
     status, none = F.col("o_orderstatus"), F.lit(None).cast("string")

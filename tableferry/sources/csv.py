@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -46,7 +47,7 @@ def read_layouts(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...],
     header line that goes on after a line break is parsed by itself. Empty files are
     left out.
     """
-    files = sorted(spark.read.text(paths).inputFiles())
+    files = sorted(map(unquote, spark.read.text(paths).inputFiles()))  # given as URIs
     lines: dict[str, str] = {}
     for start in range(0, len(files), HEADERS_PER_JOB):
         firsts = [

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tableferry import migrate
+from tableferry import discover, migrate
 from tableferry.operators.infer import infer_first_row
 from tableferry.sinks.csv import write_csv
 from tableferry.sources.csv import read_csv, read_header
@@ -209,3 +209,10 @@ def test_counting_malformed_rows_is_an_option(spark, path):
     spec = {"source": source, "destination": target, "mapping": [{"from": "a", "to": "a"}]}
     assert migrate(spark, spec).malformed_rows == 1
     assert migrate(spark, {**spec, "options": {"countMalformed": False}}).malformed_rows == 0
+
+
+def test_paths_with_blanks_and_signs(spark, path):
+    os.makedirs(path("in dir"))
+    put(path("in dir/a%20 ü.csv"), "a\n1\n")
+    assert rows(read_csv(spark, path("in dir"))) == [("1",)]
+    assert rows(discover(spark, {"dbType": "csv", "config": {"path": path("in dir")}})) == [(0, "a", "INT")]

@@ -1,0 +1,62 @@
+"""Labels kept by file: only new files are read, and the labels are those of all rows."""
+
+import os
+import time
+
+from tableferry.operators import ledger
+from tableferry.operators.infer import infer_all_rows
+from tableferry.sources.csv import read_csv
+
+
+def put(path, text):
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        f.write(text)
+    return path
+
+
+def labels(df):
+    return sorted((r.pos, r.name, r.type) for r in df.collect())
+
+
+def test_second_look_reads_the_new_file_only(spark, path, monkeypatch):
+    os.makedirs(path("in dir"))
+    reads, real = [], ledger.read_csv
+
+    def noted(spark, paths, **kw):
+        reads.append(sorted(os.path.basename(p) for p in paths))
+        return real(spark, paths, **kw)
+
+    monkeypatch.setattr(ledger, "read_csv", noted)
+    look = lambda: labels(ledger.infer_incremental(spark, path("in dir"), path("ledger")))
+    put(path("in dir/a ü.csv"), "id,v,d,blank,s\n1,2,2024-01-01,,x\n-3,,2024-01-02,,\n")
+    put(path("in dir/b.csv"), "id,v,d,blank,s\n")  # no row
+    assert look() == [(0, "id", "INT"), (1, "v", "INT"), (2, "d", "DATE"), (3, "blank", "STRING"), (4, "s", "STRING")]
+    assert look() and reads == [["a ü.csv", "b.csv"]]
+    put(path("in dir/c.csv"), "v,id,d,s,blank\n1.5,7,x,1,\n")
+    assert look() == [(0, "id", "INT"), (1, "v", "FLOAT"), (2, "d", "STRING"), (3, "blank", "STRING"), (4, "s", "STRING")]
+    assert reads[1:] == [["c.csv"]]
+    assert look() == labels(infer_all_rows(read_csv(spark, path("in dir"), blanks="null")))
+    time.sleep(1.1)
+    put(path("in dir/c.csv"), "v,id,d,s,blank\n12,7,2024-01-01,1,\n")  # changed
+    assert look()[1:3] == [(1, "v", "INT"), (2, "d", "DATE")] and reads[2:] == [["c.csv"]]
+    os.remove(path("in dir/a ü.csv"))
+    assert dict((n, t) for _, n, t in look())["s"] == "INT" and len(reads) == 3
+    assert labels(ledger.infer_incremental(spark, path("nothing"), path("ledger"))) == []
+
+
+def test_states_merge_in_any_order_and_number(spark, path):
+    os.makedirs(path("in"))
+    for i, cells in enumerate(["1", "2.5", "", "2024-01-01", "x"]):
+        put(path(f"in/{i}.csv"), f"a,b\n{cells},9\n")
+    states = ledger.file_states(spark, ledger.listing(spark, path("in")))
+    one = labels(ledger.merged(states))
+    assert one == [(0, "a", "STRING"), (1, "b", "INT")]
+    assert labels(ledger.merged(states.union(states).orderBy("file", ascending=False))) == one
+    some = states.where("file like '%/0.csv' or file like '%/1.csv' or file like '%/2.csv'")
+    assert labels(ledger.merged(some)) == [(0, "a", "FLOAT"), (1, "b", "INT")]
+
+
+def test_the_content_of_listed_files_is_not_read(spark, path):
+    put(path("a.csv"), "a\n1\n")
+    plan = ledger.listing(spark, path("a.csv"))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema")[1]
