@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from tableferry.scratch import scratch_path, shared_root
+from tableferry.scratch import hadoop_path, scratch_path, shared_root
 
 #: Rows of one group that a single task ranks; larger groups are split by hash.
 RANK_ROWS = 20_000
 #: Codes that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: The same for codes alone, of two numbers each (about 100 MB).
+BROADCAST_CODES = 4_000_000
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -23,9 +26,36 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Lists that note the tables written while they are open (``noting``).
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noting(paths: list[str]) -> Iterator[None]:
+    """Adds the path of every table that ``stored`` writes meanwhile to ``paths``."""
+    _NOTED.append(paths)
+    try:
+        yield
+    finally:
+        _NOTED.remove(paths)
+
+
+def drop_noted(spark: SparkSession, paths: list[str], docs: DataFrame) -> None:
+    """Delete noted tables and forget them, but for those that ``docs`` reads."""
+    read = docs.inputFiles() if paths else []
+    kept = [p for p in paths if any(p.rsplit("/", 1)[1] in f for f in read)]
+    for path in paths:
+        if path not in kept:
+            jpath, fs = hadoop_path(spark, path)
+            fs.delete(jpath, True)
+    paths[:] = kept
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows as a Parquet table in the shared folder, read back."""
     path = scratch_path(df.sparkSession, name)
+    for paths in _NOTED:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -94,6 +124,15 @@ def fold(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 3
 
 
+def by_place(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns called by their places, and what ``names`` are called then.
+
+    No column of a caller can then clash with a name that an operator uses itself.
+    """
+    columns = docs.columns
+    return docs.toDF(*[f"c{i}" for i in range(len(columns))]), [f"c{columns.index(n)}" for n in names]
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, per_class: int, key: str = "doc_id"
 ) -> DataFrame:
@@ -125,27 +164,31 @@ def group_links(
     near: Callable[[str, str], Column],
     verified: Callable[[DataFrame], DataFrame],
     prepare: Callable[[DataFrame], None] = lambda ids: None,
+    attributes: DataFrame | None = None,
 ) -> DataFrame:
     """Edges ``a``, ``b`` whose components are those of all verified pairs that share a code.
 
     ``coded`` has ``code``, ``id`` and the columns ``extra`` that ``near`` (of two
-    aliases) reads. Groups of one code with few ids: all pairs. Larger groups: every id
+    aliases) reads; or ``attributes`` has them, one row for each id, and is joined only
+    with ids that share a code. Groups of one code with few ids: all pairs. Larger groups: every id
     is held against one of the group, another for each code; only ids of a group that
     these links leave in different components are paired. ``prepare`` is called once
     with all ids (distinct) that ``verified`` will see.
     """
     counts = checkpoint(coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    several = broadcast_if_small(counts, counts.count(), BROADCAST_ROWS)  # most codes are of one id: no shuffle of ``extra``
-    shared = stored(coded.join(several, "code"), "shared")
-    leaders = shared.groupBy("code").agg(F.min_by("id", F.xxhash64("id", "code")).alias("leader"))
-    sized = stored(shared.join(leaders, "code").select("code", "id", *extra, "n", "leader"), "groups")
+    shared = coded.join(broadcast_if_small(counts, counts.count(), BROADCAST_CODES), "code")
+    if attributes is not None:
+        shared = shared.join(attributes, "id")
+    sized = stored(shared.select("code", "id", *extra, "n"), "groups")
 
     def pairs(left: DataFrame, right: DataFrame, more: Column) -> DataFrame:
         joined = left.alias("l").join(right.alias("r"), "code").where(more & near("l", "r"))
         return joined.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
     ordered = F.col("l.id") < F.col("r.id")
-    few, many = sized.where(F.col("n") <= paired), sized.where(F.col("n") > paired)
+    few, large = sized.where(F.col("n") <= paired), sized.where(F.col("n") > paired)
+    leaders = large.groupBy("code").agg(F.min_by("id", F.xxhash64("id", "code")).alias("leader"))
+    many = checkpoint(large.join(leaders, "code"))
     led = pairs(many.where("id = leader"), many, F.col("l.id") != F.col("r.id"))
     first = checkpoint(pairs(few, few, ordered).unionByName(led).distinct())
     prepare(first.select(F.explode(F.array("a", "b")).alias("id")).unionByName(many.select("id")).distinct())

@@ -13,7 +13,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tableferry.llm.common import broadcast_if_small, checkpoint
+from tableferry.llm.common import broadcast_if_small, by_place, checkpoint
 
 #: Five tokens count under each mask.
 MASKS = ("1101011", "11100101", "1100010011")
@@ -141,7 +141,9 @@ def leaks(
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that share no passage with the benchmark."""
+    names = docs.columns
+    docs, (text,) = by_place(docs, text)
     found = checkpoint(overlaps(docs, benchmark, text, item_text).select(F.col("doc").alias("_leak")).distinct())
     leaked = broadcast_if_small(found, found.count(), BROADCAST_ROWS)
     name = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    return docs.join(leaked, name == F.col("_leak"), "left_anti")
+    return docs.join(leaked, name == F.col("_leak"), "left_anti").toDF(*names)

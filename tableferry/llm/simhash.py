@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tableferry.llm.common import checkpoint, components, stand_ins
+from tableferry.llm.common import by_place, checkpoint, components, stand_ins
 
 SEED = 42
 #: Shingles hashed at once, so that long texts need no more memory.
@@ -182,13 +182,15 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
     That is the row of the smallest key (NULL last), then of the smallest hash of text and row.
     """
+    names = docs.columns
+    docs, (key, text) = by_place(docs, key, text)
     rows = docs.select(
         F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"),
         F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rest"), F.col(text).alias("_text"),
     )
     prints = checkpoint(fingerprints(rows, ["_key", "_hash", "_rest"], "_text", words))
     placed = prints.join(classes(prints, "_key").select("fingerprint", "root"), "fingerprint")
-    return stand_ins(docs, placed, key, text, BROADCAST_ROWS)
+    return stand_ins(docs, placed, key, text, BROADCAST_ROWS).toDF(*names)
 
 
 def hex_text(fingerprint: Column) -> Column:

@@ -1,10 +1,9 @@
 import corpus_pipeline
 from helpers import SF, documents
 from test_decontaminate import brute as leaked
-from test_linededup import brute as without_repeats
+from test_linededup import check as check_lines
+from test_neardup import brute as representatives
 from test_packing import check
-from test_simhash import brute_links, brute_print
-from helpers import union_find
 
 from tableferry.llm import toxicity
 
@@ -24,12 +23,8 @@ def test_every_stage_against_brute_force(spark, path):
     scored = toxicity.score(whole, toxicity.train(whole, labels), ["doc_id"])
     gone = {r.doc_id for r in scored.where("predicted = 1").collect()}  # may be empty: eleven toxic labels are few
     assert seen["toxicity"] == {d: t for d, t in texts.items() if d not in gone}
-    assert seen["line_dedup"] == without_repeats(seen["toxicity"])
-    prints = {d: brute_print(t) for d, t in seen["line_dedup"].items()}
-    root, least = union_find(set(prints.values()), brute_links(set(prints.values()))), {}
-    for d, f in prints.items():
-        least[root[f]] = min(d, least.get(root[f], d))
-    assert set(seen["simhash"]) == set(least.values())
+    check_lines(seen["toxicity"], seen["line_dedup"], 0.95)
+    assert set(seen["simhash"]) == representatives(seen["line_dedup"])
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     assert set(seen["decontamination"]) == set(seen["simhash"]) - {d for d, _ in leaked(seen["simhash"], items)}
     check(docs.collect(), seen["decontamination"])
