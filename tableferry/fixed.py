@@ -92,7 +92,3 @@ UNSUPPORTED_TYPE = "Unsupported type: {}"
 ISSUE_NO_TYPE = "pick a database"
 ISSUE_EMPTY_FIELD = "'{}' is empty"
 ISSUE_NO_INBOUND = "no incoming connection"
-
-# --- fixed values: sheet names of workbooks ---------------------------------
-DEFAULT_SHEET = "Sheet1"
-BLANK_HEADER = "__EMPTY"
