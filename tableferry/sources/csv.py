@@ -40,6 +40,15 @@ def read_header(spark: SparkSession, path) -> list[str]:
     return [] if first is None else ["" if v is None else v for v in first]
 
 
+def whole_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value``: the lines of one file, in order and read by one task, however large the file is.
+
+    Text of several splits has no first line: the tasks' rows come in any order.
+    """
+    unquoted = {"quote": "", "escape": "", "sep": "\u0001\u0002"}
+    return spark.read.options(**READ_OPTIONS | unquoted, multiLine=True, header=False).schema("value string").csv(path)
+
+
 def read_layouts(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
     """Files by the names in their header lines, in the order of the paths.
 
@@ -51,7 +60,7 @@ def read_layouts(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...],
     lines: dict[str, str] = {}
     for start in range(0, len(files), HEADERS_PER_JOB):
         firsts = [
-            spark.read.text(f).where(F.trim("value") != "").limit(1).select(F.lit(f).alias("file"), "value")
+            whole_lines(spark, f).where(F.trim("value") != "").limit(1).select(F.lit(f).alias("file"), "value")
             for f in files[start : start + HEADERS_PER_JOB]
         ]
         lines |= {r["file"]: r["value"] for r in reduce(DataFrame.union, firsts).collect()}

@@ -7,7 +7,7 @@ import pytest
 from tableferry import discover, migrate
 from tableferry.operators.infer import infer_first_row
 from tableferry.sinks.csv import write_csv
-from tableferry.sources.csv import read_csv, read_header
+from tableferry.sources.csv import read_csv, read_header, whole_lines
 from tableferry.sources.objects import read_object_csv
 
 PEOPLE = "id,name,city\n1,Ada,Lucknow\n2,Linus,Bengaluru\n3,Grace,Delhi\n"
@@ -216,3 +216,26 @@ def test_paths_with_blanks_and_signs(spark, path):
     put(path("in dir/a%20 ü.csv"), "a\n1\n")
     assert rows(read_csv(spark, path("in dir"))) == [("1",)]
     assert rows(discover(spark, {"dbType": "csv", "config": {"path": path("in dir")}})) == [(0, "a", "INT")]
+
+
+def test_the_first_line_is_read_by_one_task(spark, path):
+    """A file of many splits has its header in the first of them, and rows of splits come in any order."""
+    lines = ["id,a note", "", *(f"{i},x{i}" for i in range(20_000))]
+    files = [put(path(f"{n}.csv"), "\ufeff\r\n  \r\n" + "\r\n".join(lines) + "\r\n") for n in "ab"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        assert spark.read.text(files[0]).rdd.getNumPartitions() > 4
+        assert whole_lines(spark, files[0]).rdd.getNumPartitions() == 1
+        assert whole_lines(spark, files[0]).where("trim(value) <> ''").first().value == "id,a note"
+        assert read_csv(spark, files, multiline="split").columns == ["id", "a note"]
+        assert read_csv(spark, files, multiline=False).count() == 40_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_header_lines_with_quotes_and_breaks(spark, path):
+    names = ['say "hi"', "c,d", " pad "]
+    for n, end in (("n.csv", "\n"), ("rn.csv", "\r\n"), ("r.csv", "\r")):
+        text = '"say ""hi""","c,d", pad ' + end + "1,2,3" + end
+        assert read_csv(spark, put(path(n), text)).columns == names
+    assert read_csv(spark, put(path("broken.csv"), '"a\nb",c\n1,2\n')).columns == ["a\nb", "c"]
