@@ -8,8 +8,9 @@ sides holds its collisions. Pairs with as many collisions as a pair at the thres
 with probability ``RECALL`` are verified by their cosine.
 
 Vectors are compared only where they can be near: large groups are cut into cells by
-ranges of up to three projections, ``CELL`` deviations wide, so that near vectors lie in
-the same cell or in neighbouring ones. Cells are cut into blocks by hash, and a task takes
+ranges of up to three projections. A cell is as wide as two vectors at the threshold can
+lie apart at all, so that near vectors lie in the same cell or in neighbouring ones: cells
+lose no pair, and what is found does not depend on a group's size. Cells are cut into blocks by hash, and a task takes
 one pair of blocks; every pair of vectors meets in one task only. It gives back how many
 links each vector has and a spanning forest of the links, so that rows grow with the
 vectors, not with the pairs.
@@ -29,8 +30,8 @@ from tableferry.llm.common import broadcast_if_small, components, stored
 
 SIMILARITY = 0.98
 PROJECTIONS, WINDOW, RECALL = 32, 1.5, 0.999
-#: Width of a cell in deviations, and vectors of a group from which one, two and three projections cut it.
-CELL, LEVELS = 3.0, (4_096, 40_960, 409_600)
+#: Vectors of a group from which one, two and three projections cut it.
+LEVELS = (4_096, 40_960, 409_600)
 #: Vectors of a block.
 BLOCK = 2_048
 SEED = 42
@@ -45,6 +46,11 @@ def deviation(dim: int, similarity: float) -> float:
     return math.sqrt(max(0.0, 2 - 2 * similarity) / dim)
 
 
+def cell_width(similarity: float) -> float:
+    """How far apart two unit vectors at the threshold can be, and so their values on any direction."""
+    return math.sqrt(max(0.0, 2 - 2 * similarity)) * (1 + 1e-9) + 1e-9
+
+
 @lru_cache(maxsize=8)
 def directions(dim: int) -> np.ndarray:
     """Unit directions, fixed for a number of dimensions; at right angles while there are enough dimensions."""
@@ -137,7 +143,7 @@ def _in_cells(groups: DataFrame, similarity: float) -> DataFrame:
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
                 lines = unit(_matrix(batch.column("vec").take(pa.array(rows)))) @ directions(int(dim))[: len(_CELLS)].T
-                cells[rows] = np.floor(lines / max(CELL * deviation(int(dim), similarity), 1e-9))
+                cells[rows] = np.floor(lines / cell_width(similarity))
             cells[np.arange(len(_CELLS))[None, :] >= levels[:, None]] = 0
             kept = ["cid", "label", "dim", "n", "vec"]
             columns = [*(batch.column(c) for c in kept), *(pa.array(cells[:, i]) for i in range(len(_CELLS)))]

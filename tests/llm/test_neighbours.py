@@ -70,6 +70,21 @@ def test_cells_and_blocks(spark, monkeypatch):
         assert sum(r[1] for r in got) >= 0.99 * sum(r[1] for r in want) and all(g[1] <= w[1] for g, w in zip(got, want))
 
 
+@pytest.mark.parametrize("levels", [(1, 1, 1), (1, 1, 10**6), (10**6,) * 3])
+def test_results_do_not_depend_on_the_size_of_a_group(spark, monkeypatch, levels):
+    """Pairs that differ along a direction that cuts cells are near in large groups too."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(60):
+        x = neighbours.unit(rng.standard_normal((1, 64)))[0]
+        along = neighbours.directions(64)[k % 3]
+        along = along - (along @ x) * x
+        y = 0.982 * x + math.sqrt(1 - 0.982**2) * along / np.linalg.norm(along)
+        rows += [(2 * k, x.tolist(), 1), (2 * k + 1, y.tolist(), 1)]
+    monkeypatch.setattr(neighbours, "LEVELS", levels)
+    got = found(frame(spark, rows))
+    assert got == brute(rows) and sum(r[1] for r in got) == 120
+
+
 def test_recall_at_the_threshold():
     """Pairs with a cosine of exactly the threshold are candidates as often as calibrated."""
     rng = np.random.default_rng(1)
