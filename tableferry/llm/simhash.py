@@ -34,6 +34,20 @@ DISTANCE = 2
 BROADCAST_ROWS = 1_000_000
 
 
+def ones_of(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the 64-bit hashes each bit is set."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """64-bit SimHash of unsigned hashes; 0 without any."""
+    ones = np.zeros(64, dtype=np.int64)
+    for start in range(0, len(hashes), CHUNK):
+        ones += ones_of(hashes[start : start + CHUNK])
+    return sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist())
+
+
 def fingerprint(text: str | None, words: int) -> int:
     """64-bit SimHash over shingles of ``words`` words of the whole text; 0 without a word."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -48,8 +62,7 @@ def fingerprint(text: str | None, words: int) -> int:
             dtype=np.uint64,
             count=stop - start,
         )
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
+        ones += ones_of(hashes)
     return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
 
 

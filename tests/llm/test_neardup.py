@@ -62,3 +62,17 @@ def test_awkward_rows(spark):
     ids = [r.doc_id for r in neardup.near_duplicates_dropped(df).select("doc_id").collect()]
     assert sorted(i for i in ids if i is not None) == [1, 4, 5, 6, 7, 9] and ids.count(None) == 1
     assert neardup.near_duplicates_dropped(empty(spark)).count() == 0
+
+
+def test_simhash_finds_links_before_the_prefixes(spark, monkeypatch):
+    """Without the candidates of the prefixes, near copies are still linked by their fingerprints."""
+    rng, texts = random.Random(4), {}
+    for d in range(0, 24, 2):
+        words = prose(rng, 2000, 5000).split()
+        texts[d] = " ".join(words)
+        texts[d + 1] = " ".join([*words[:-1], "other"])
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(neardup, "group_links", lambda coded, extra, paired, near, verified: verified(none))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = {r.doc_id for r in neardup.near_duplicates_dropped(df).collect()}
+    assert left >= set(range(0, 24, 2)) and len(left) <= 14
